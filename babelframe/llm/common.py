@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for notebooks)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +89,44 @@ def components(spark: SparkSession, edges: DataFrame, stored: Stored, max_rounds
             stored.drop(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+_LOADED: dict = {}
+
+
+def once(key: tuple, make):
+    """A worker process' own copy of something that is dear to build. At most eight are kept."""
+    if key not in _LOADED:
+        if len(_LOADED) >= 8:
+            _LOADED.clear()
+        _LOADED[key] = make()
+    return _LOADED[key]
+
+
+def ship_file(spark: SparkSession, path: str):
+    """A vocabulary file of a few megabytes, read by the driver and broadcast: (key, broadcast of its bytes)."""
+    import hashlib
+
+    with open(path, "rb") as f:
+        data = f.read()
+    if len(data) > 64 << 20:
+        raise ValueError(f"{path} is over 64 MB and is not a vocabulary file")
+    return hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
+
+
+def vocabulary(name: str) -> str:
+    """The usual place of a public tokenizer's file; every operator also takes a path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def by_size(batch, column: str, chars: int = 1_000_000):
+    """Slices of an Arrow batch with about so many characters each, so that a batch of long texts is worked on in turns."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // chars, prepend=-1))
+    for a, b in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .sharding import interleave
 
 
@@ -19,9 +20,14 @@ def op3_exact_dedup_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_pack_min_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op3_exact_dedup_recipes": op3_exact_dedup_recipes,
+    "op10_pack_min_slack": op10_pack_min_slack,
 }
 
 ORACLES: dict[str, str] = {
