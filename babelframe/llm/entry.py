@@ -10,6 +10,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .sharding import interleave
+from .token_count import token_counts
 
 
 def op1_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +25,14 @@ def op10_pack_min_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_token_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op3_exact_dedup_recipes": op3_exact_dedup_recipes,
+    "op8_token_count_transducer": op8_token_count_transducer,
     "op10_pack_min_slack": op10_pack_min_slack,
 }
 
