@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack
@@ -29,10 +30,15 @@ def op8_token_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op3_exact_dedup_recipes": op3_exact_dedup_recipes,
     "op8_token_count_transducer": op8_token_count_transducer,
+    "op9_bpe_distinct_words": op9_bpe_distinct_words,
     "op10_pack_min_slack": op10_pack_min_slack,
 }
 
