@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .packing import pack
 from .sharding import interleave
 from .token_count import token_counts
+from .toxicity import toxicity
 
 
 def op1_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +35,14 @@ def op9_bpe_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op3_exact_dedup_recipes": op3_exact_dedup_recipes,
+    "op5_toxicity_subword_softmax": op5_toxicity_subword_softmax,
     "op8_token_count_transducer": op8_token_count_transducer,
     "op9_bpe_distinct_words": op9_bpe_distinct_words,
     "op10_pack_min_slack": op10_pack_min_slack,
