@@ -36,7 +36,7 @@ from .common import Stored, by_size, once, ship_file, vocabulary
 CAPACITY = 2048
 SEPARATOR = 1
 CELLS = 512
-MEMO_WORDS = 300_000
+MEMO_WORDS = 900_000
 
 #: A stop or comma between a letter or digit and a space starts a pre-token of its own.
 _STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s)")
@@ -59,11 +59,28 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters only are one pre-token each, so many go through the library as one text; its word-end tokens part them."""
+        plain = [w for w in words if w.isalpha()]
+        for k in range(0, len(plain), 1000):
+            some = plain[k : k + 1000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) != len(some):
+                self.memo.update(zip(some, self._encode(some), strict=True))
+                continue
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.memo.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        rest = [w for w in words if not w.isalpha()]
+        self.memo.update(zip(rest, self._encode(rest), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
         for x in texts:
@@ -72,8 +89,7 @@ class WordIds:
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
             new = set().union(*(s for s in split if s))
-        new = list(new)
-        self.memo.update(zip(new, self._encode(new), strict=True))
+        self._learn(list(new))
         get = self.memo.__getitem__
         return [b"".join(map(get, s)) if s is not None else self._encode([x])[0] for s, x in zip(split, texts, strict=True)]
 
