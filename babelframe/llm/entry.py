@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import language_id
 from .packing import pack
 from .sharding import interleave
 from .token_count import token_counts
@@ -39,10 +40,15 @@ def op5_toxicity_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_language_id_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op3_exact_dedup_recipes": op3_exact_dedup_recipes,
     "op5_toxicity_subword_softmax": op5_toxicity_subword_softmax,
+    "op7_language_id_bigru": op7_language_id_bigru,
     "op8_token_count_transducer": op8_token_count_transducer,
     "op9_bpe_distinct_words": op9_bpe_distinct_words,
     "op10_pack_min_slack": op10_pack_min_slack,
