@@ -2,7 +2,8 @@
 
 1. Each task splits its texts into pre-tokens and takes about BLOCK_CHARS of text as a block: its distinct
    pre-tokens, numbered, and each document as the numbers of its pre-tokens in their order (the positions).
-   Blocks are a stored table, so what follows never sees a block split twice.
+   Blocks are a stored table, so what follows never sees a block split twice; the table is bucketed by block,
+   so that the documents' numbers, the largest part, are written once and never shuffled.
 2. The distinct pre-tokens are exploded, in rows of one block and one hash bucket, and shuffled by bucket.
    A bucket's task encodes each distinct pre-token once, whatever the number of blocks that hold it: a word
    that stands in every document costs one entry a block.
@@ -21,7 +22,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Stored, once, ship_file, vocabulary
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 24_000_000
 
 BLOCKS = "block long, bucket int, first long, words binary, doc_ids array<bigint>, sizes array<bigint>, numbers binary"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -97,19 +97,21 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int) -> Dat
         base, made = TaskContext.get().partitionId() << 32, 0
         names = [c.split()[0] for c in BLOCKS.split(", ")]
         ids: list = []
-        docs_words: list[list[str]] = []
+        sizes: list[int] = []
+        parts: list[np.ndarray] = []
+        number: dict[str, int] = {}
         chars = 0
 
         def flush() -> pa.RecordBatch:
-            tally = Counter()
-            for w in docs_words:
-                tally.update(w)
-            order = sorted(tally, key=tally.get, reverse=True)  # frequent words get small numbers
-            number = {w: i for i, w in enumerate(order)}
-            flat = np.fromiter((number[w] for ws in docs_words for w in ws), np.int64, sum(map(len, docs_words)))
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            by_use = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")  # frequent words get small numbers
+            new = np.empty(len(by_use), np.int64)
+            new[by_use] = np.arange(len(by_use))
+            flat = new[flat]
+            raw = [w.encode("utf-8", "surrogatepass") for w in number]
+            raw = [raw[i] for i in by_use.tolist()]
             block = base + made
-            rows = [(block, -1, 0, None, ids, [len(w) for w in docs_words], pack_numbers(flat))]
-            raw = [w.encode("utf-8", "surrogatepass") for w in order]
+            rows = [(block, -1, 0, None, ids, sizes, pack_numbers(flat))]
             home = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
             by = np.argsort(home, kind="stable")
             edges = np.flatnonzero(np.diff(home[by], prepend=-1)) if len(by) else []
@@ -126,13 +128,16 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int) -> Dat
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 text = t.as_py() or ""
-                if docs_words and chars + len(text) > block_chars:
+                if ids and chars + len(text) > block_chars:
                     yield flush()
-                    made, chars, ids, docs_words = made + 1, 0, [], []
+                    made, chars, ids, sizes, parts, number = made + 1, 0, [], [], [], {}
+                words = find(text)
                 ids.append(i)
-                docs_words.append(find(text))
+                sizes.append(len(words))
+                put = number.setdefault
+                parts.append(np.asarray([put(w, len(number)) for w in words], np.int64))
                 chars += len(text)
-        if docs_words:
+        if ids:
             yield flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, BLOCKS)
@@ -150,7 +155,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(16, min(4096, 2 * parts))
     stored = Stored(spark)
-    made = stored.put(blocks(docs, pattern, buckets, block_chars))
+    made = stored.put_bucketed(blocks(docs, pattern, buckets, block_chars), "block", parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = once(("codec", key, pattern), lambda: Codec(data.value, pattern))
@@ -181,24 +186,19 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
 
     words = made.where("bucket >= 0").select("block", "bucket", "first", "words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     encoded = words.mapInArrow(encode, "block long, ids binary")
-    whole = made.where("bucket < 0").select("block", F.lit(None).cast("binary").alias("ids"), "doc_ids", "sizes", "numbers")
-    whole = whole.union(encoded.select("block", "ids", *(F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<bigint>"), ("sizes", "array<bigint>"), ("numbers", "binary")))))
+    whole = made.where("bucket < 0").select("block", "doc_ids", "sizes", "numbers")
 
-    def put_together(t: pa.Table) -> pa.Table:
+    def put_together(docs: pa.Table, words: pa.Table) -> pa.Table:
         codec = once(("codec", key, pattern), lambda: Codec(data.value, pattern))
-        where, counts, ids, doc = [], [], [], None
-        for r in t.to_batches(max_chunksize=64):
-            for row in r.to_pylist():
-                if row["ids"] is None:
-                    doc = row
-                    continue
-                packed = row["ids"]
-                n_where, n_counts, n_raw, width = np.frombuffer(packed[:32], "<i8").tolist()
-                where.append(np.cumsum(unpack_numbers(packed[32 : 32 + n_where])))
-                counts.append(unpack_numbers(packed[32 + n_where : 32 + n_where + n_counts]))
-                ids.append(np.frombuffer(_unpack(packed[32 + n_where + n_counts :], n_raw), "<u2" if width <= 2 else "<u4").astype(np.int64))
-        if doc is None:
+        where, counts, ids = [], [], []
+        if docs.num_rows != 1:
             raise RuntimeError("a block has lost its documents")
+        doc = docs.to_pylist()[0]
+        for packed in (p.as_py() for p in words.column("ids")):
+            n_where, n_counts, n_raw, width = np.frombuffer(packed[:32], "<i8").tolist()
+            where.append(np.cumsum(unpack_numbers(packed[32 : 32 + n_where])))
+            counts.append(unpack_numbers(packed[32 + n_where : 32 + n_where + n_counts]))
+            ids.append(np.frombuffer(_unpack(packed[32 + n_where + n_counts :], n_raw), "<u2" if width <= 2 else "<u4").astype(np.int64))
         numbers = unpack_numbers(doc["numbers"])
         place, size, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (where, counts, ids))
         if len(place) != len(np.unique(place)) or (len(numbers) and int(numbers.max()) >= len(place)):
@@ -225,7 +225,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=False)})
 
-    return whole.groupBy("block").applyInArrow(put_together, RESULT + (", ids array<int>" if with_ids else ""))
+    return whole.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(put_together, RESULT + (", ids array<int>" if with_ids else ""))
 
 
 def decode(tokens: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:

@@ -55,6 +55,14 @@ class Stored:
         atexit.register(_drop_at_exit, self.spark, path)
         return out
 
+    def put_bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """The same, with the rows of a key in one bucket, so that later groupings by it need no shuffle."""
+        name = f"bf_{uuid.uuid4().hex}"
+        path = f"{scratch_dir(self.spark)}/{name}"
+        df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+        atexit.register(_drop_at_exit, self.spark, path)
+        return self.spark.read.table(name)
+
     def drop(self, df: DataFrame | None) -> None:
         path = self.paths.pop(id(df), None)
         if path:
