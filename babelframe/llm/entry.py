@@ -10,6 +10,7 @@ from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import language_id
+from .minhash import near_dedup
 from .packing import pack
 from .sharding import interleave
 from .token_count import token_counts
@@ -44,8 +45,13 @@ def op7_language_id_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents")).drop("rid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
+    "op2_near_dedup_bagminhash": op2_near_dedup_bagminhash,
     "op3_exact_dedup_recipes": op3_exact_dedup_recipes,
     "op5_toxicity_subword_softmax": op5_toxicity_subword_softmax,
     "op7_language_id_bigru": op7_language_id_bigru,
