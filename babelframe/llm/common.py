@@ -99,6 +99,35 @@ def components(spark: SparkSession, edges: DataFrame, stored: Stored, max_rounds
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that found (doc_id, text_sha256, kept for every row of docs) marks as kept.
+
+    Rows are known by doc_id and text. Where such a pair is repeated, one row stays; texts are grouped for that only
+    if there are repeats at all.
+    """
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    rows = docs.withColumn("__sha", sha)
+    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha")).distinct()
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__kept_sha"]), "left_semi")
+    repeated = found.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
+    if repeated:
+        rows = rows.dropDuplicates(["doc_id", "__sha"])
+    return rows.drop("__sha")
+
+
+def lowest(df: DataFrame, h, n: int, ties: list[str]) -> DataFrame:
+    """The n rows of df with the lowest hash h (a long, evenly spread).
+
+    Rows are counted first and only those under a matching cut of the hash's range are sorted, so that the
+    partitions together, and not each, offer about n rows.
+    """
+    every = df.count()
+    if every > 2 * n:
+        cut = -(1 << 63) + int((1 << 64) * 1.3 * n / every)
+        df = df.where(h < F.lit(min(cut, (1 << 63) - 1)))
+    return df.orderBy(h, *ties).limit(n)
+
+
 _LOADED: dict = {}
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
 from .common import table
+from .embed_dedup import embed_dedup
 from .exact_dedup import exact_dedup
 from .langid import language_id
 from .minhash import near_dedup
@@ -15,6 +16,7 @@ from .packing import pack
 from .sharding import interleave
 from .token_count import token_counts
 from .toxicity import toxicity
+from .warc import damaged, fixity_report
 
 
 def op1_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +48,26 @@ def op7_language_id_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents")).drop("rid")
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC records, audited against a replica with damage by a stated rule."""
+    pages = table(spark, sf_dir, "pages")
+    return fixity_report(pages, damaged(pages))
+
+
+def op6_embedding_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleave": op1_shard_interleave,
     "op2_near_dedup_bagminhash": op2_near_dedup_bagminhash,
     "op3_exact_dedup_recipes": op3_exact_dedup_recipes,
+    "op4_warc_merkle_audit": op4_warc_merkle_audit,
     "op5_toxicity_subword_softmax": op5_toxicity_subword_softmax,
+    "op6_embedding_cover_tree": op6_embedding_cover_tree,
     "op7_language_id_bigru": op7_language_id_bigru,
     "op8_token_count_transducer": op8_token_count_transducer,
     "op9_bpe_distinct_words": op9_bpe_distinct_words,
@@ -79,6 +93,22 @@ WITH crc_table AS (
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(k AS INTEGER) AS shard,
        CAST(p - (k * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM cut
+""",
+    "op6_embedding_cover_tree": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT a AS x, b AS y FROM links UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+       least(e.vec_id, coalesce((SELECT min(r.y) FROM reach r WHERE r.x = e.vec_id), e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce((SELECT min(r.y) FROM reach r WHERE r.x = e.vec_id), e.vec_id)) AS kept
+FROM embeddings e
 """,
     "op3_exact_dedup_recipes": """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

@@ -273,12 +273,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, class_size, kept (and rid, the row's number) for every row of docs."""
+    """doc_id, class_id, class_size, kept, text_sha256 for every row of docs."""
     spark = docs.sparkSession
     stored = Stored(spark)
     signed = stored.put(_signed(docs))
     groups = signed.groupBy("digest", "sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("one"), F.count(F.lit(1)).alias("copies"))
-    own = F.coalesce(F.col("one.doc_id"), -F.abs(F.xxhash64("digest") / 2).cast("long") - 1)
+    own = F.coalesce(F.col("one.doc_id"), F.shiftrightunsigned(F.xxhash64("digest"), 2) + F.lit(1 << 62))
     groups = stored.put(groups.select("digest", "sig", own.alias("node"), F.col("one.doc_id").alias("first_id"), F.col("one.rid").alias("rid"), "copies"))
 
     bands = F.explode(F.expr(f"transform(sequence(0, {SIZE // ROWS - 1}), i -> xxhash64(i, substring(sig, i * {ROWS} + 1, {ROWS})))"))
@@ -328,4 +328,4 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = classes.withColumn("c2", F.pmod("class_id", F.lit(1021))).join(sizes, ["class_id", "c2"]).withColumn("d2", F.substring("digest", 1, 2))
     classes = stored.put(classes.select("digest", "d2", "class_id", "class_size", "node", "first_rid"))
     rows = signed.select("doc_id", "rid", "digest", F.substring("digest", 1, 2).alias("d2")).join(classes, ["digest", "d2"])
-    return rows.select("doc_id", "class_id", "class_size", ((F.col("node") == F.col("class_id")) & (F.col("rid") == F.col("first_rid"))).alias("kept"), "rid")
+    return rows.select("doc_id", "class_id", "class_size", ((F.col("node") == F.col("class_id")) & (F.col("rid") == F.col("first_rid"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
