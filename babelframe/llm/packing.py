@@ -20,6 +20,7 @@ ties of rank fall to hash, doc_id, start and checksum; an empty table gives no p
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,10 +39,13 @@ SEPARATOR = 1
 CELLS = 512
 MEMO_WORDS = 900_000
 
-#: A stop or comma between a letter or digit and a space starts a pre-token of its own.
-_STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s)")
-#: Beyond these, lower-casing by Python and by the tokenizer may differ; \x1c-\x1f are spaces to Python only.
-_ODD = re.compile("[\x1c-\x1f]|[^\x00-ɏ]")
+#: Beyond these, lower-casing by Python and by the tokenizer may differ.
+_ODD = re.compile("[^\x00-\u024f]")
+
+
+def _odd(text: str) -> bool:
+    """Whether white space or lower case may mean something else to Python: \\x1c-\\x1f are spaces to Python only."""
+    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or (not text.isascii() and _ODD.search(text) is not None)
 
 
 class WordIds:
@@ -61,32 +65,93 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.ranked = self._by_rank(data)
         self.memo: dict[str, bytes] = {}
 
+    @staticmethod
+    def _by_rank(data: bytes):
+        """The same merges for a library that merges by the rank of the joined bytes, and the id of each rank.
+
+        A word's end is the byte 0xff, which UTF-8 never holds and which joins the last byte before all merges. Where every
+        joined token has one merge, rank of the pair and rank of the token are the same order. None for other vocabularies.
+        """
+        import tiktoken
+
+        spec = json.loads(data)["model"]
+        if spec.get("end_of_word_suffix") != "</w>" or spec.get("continuing_subword_prefix"):
+            return None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in shown}
+        byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+        def raw(token: str) -> bytes:
+            ends = token.endswith("</w>")
+            return bytes(byte_of[c] for c in (token[:-4] if ends else token)) + b"\xff" * ends
+
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(255)}
+        for i, m in enumerate(spec["merges"]):
+            a, b = m.split(" ") if isinstance(m, str) else m
+            if a.endswith("</w>") or raw(a) + raw(b) in ranks:
+                return None
+            ranks[raw(a) + raw(b)] = 1000 + i
+        id_of = np.zeros(1000 + len(spec["merges"]), "<u4")
+        for token, i in spec["vocab"].items():
+            if all(c in byte_of for c in token.removesuffix("</w>")) and raw(token) in ranks:
+                id_of[ranks[raw(token)]] = i
+        return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece, id_of
+
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Words of letters only are one pre-token each, so many go through the library as one text; its word-end tokens part them."""
-        plain = [w for w in words if w.isalpha()]
+        """New words. A stop or comma after letters at a word's end is a pre-token of its own.
+
+        Words of letters only are one pre-token each, so many go through the library as one text; its word-end tokens part them.
+        """
+        memo = self.memo
+        plain, stopped, rest = [], [], []
+        for w in words:
+            if w.isalpha():
+                plain.append(w)
+            elif w[-1] in ".," and w[:-1].isalpha():
+                stopped.append(w)
+                if w[:-1] not in memo:
+                    plain.append(w[:-1])
+            else:
+                rest.append(w)
+        if stopped:
+            plain = list(set(plain))
+            rest += [c for c in ".," if c not in memo]
+        if self.ranked is not None:
+            encode, id_of = self.ranked
+            found = [encode(w.encode() + b"\xff") for w in plain]
+            raw, start = id_of[[r for f in found for r in f]].tobytes(), 0
+            for w, f in zip(plain, found, strict=True):
+                end = start + 4 * len(f)
+                memo[w] = raw[start:end]
+                start = end
+            plain = []
         for k in range(0, len(plain), 1000):
             some = plain[k : k + 1000]
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
             if len(ends) != len(some):
-                self.memo.update(zip(some, self._encode(some), strict=True))
+                memo.update(zip(some, self._encode(some), strict=True))
                 continue
-            raw, ends = ids.tobytes(), ends.tolist()
-            self.memo.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-        rest = [w for w in words if not w.isalpha()]
-        self.memo.update(zip(rest, self._encode(rest), strict=True))
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ends.tolist(), strict=True):
+                memo[w] = raw[start:end]
+                start = end
+        memo.update(zip(rest, self._encode(rest), strict=True))
+        for w in stopped:
+            memo[w] = memo[w[:-1]] + memo[w[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
         for x in texts:
-            split.append(None if _ODD.search(x) else _STOP.sub(r" \1", x).lower().split())
+            split.append(None if _odd(x) else x.lower().split())
         new = set().union(*(s for s in split if s)) - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_WORDS:
+        if len(self.memo) + 2 * len(new) > MEMO_WORDS:
             self.memo.clear()
             new = set().union(*(s for s in split if s))
         self._learn(list(new))
