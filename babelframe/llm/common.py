@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,20 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once a session, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_babelframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="babelframe-")) / "babelframe_code.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(path))
+    sc._babelframe_shipped = True
+
+
 class Stored:
     """Tables cut from their lineage: written to the shared folder as Parquet and read again.
 
@@ -44,6 +61,7 @@ class Stored:
     """
 
     def __init__(self, spark: SparkSession):
+        ship_code(spark)
         self.spark = spark
         self.paths: dict[int, str] = {}
 
@@ -144,6 +162,7 @@ def ship_file(spark: SparkSession, path: str):
     """A vocabulary file of a few megabytes, read by the driver and broadcast: (key, broadcast of its bytes)."""
     import hashlib
 
+    ship_code(spark)
     with open(path, "rb") as f:
         data = f.read()
     if len(data) > 64 << 20:

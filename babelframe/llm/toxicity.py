@@ -17,6 +17,7 @@ without labelled rows every score is 0; repeated rows are scored each; an empty
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, once
+from .common import by_size, lowest, once, ship_code
 
 TRAIN_DOCS = 1500
 BUCKETS, DIM = 1 << 16, 8
 GRAMS = (3, 4, 5)
-ROUNDS, RATE, DECAY, SOFT = 40, 0.05, 2e-6, 0.5
+PHASES, MINED = (24, 10, 10), 12_000
+RATE, DECAY, SOFT = 0.05, 2e-6, 0.5
 SHRINK, START = 4.0, 0.5
+TRUST = 1.0
 TOP = 8
 THRESHOLD = 0.3
 MEMO_WORDS = 600_000
@@ -69,7 +72,9 @@ class SubwordSoftmax:
     def __init__(self, buckets: int = BUCKETS):
         self.buckets, self.value, self.bias, self.key = buckets, np.zeros(buckets, np.float32), -20.0, "none"
 
-    def fit(self, bags: list[list[str]], labels: list[int], rounds: int = ROUNDS, seed: int = 7) -> SubwordSoftmax:
+    def fit(self, bags: list[list[str]], labels: list[int], phases: tuple[int, ...] = PHASES, seed: int = 7) -> SubwordSoftmax:
+        """Words of one document only are left out at first, lest they be learnt by heart. Between the phases those of
+        clean documents that score highest are taken in, since scoring will meet such words."""
         rng = np.random.RandomState(seed)
         seen: dict[str, int] = {}
         for bag in bags:
@@ -78,13 +83,34 @@ class SubwordSoftmax:
         words = sorted(w for w, n in seen.items() if n > 1) or sorted(seen)
         if not words or len(set(labels)) < 2:
             return self
+        known = set(words)
+        spare = sorted({w for bag, y in zip(bags, labels, strict=True) if not y for w in bag} - known)
+        E = rng.normal(0, 0.3, (self.buckets, DIM)).astype(np.float32)
+        P = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
+        b = np.asarray([2.0, -2.0], np.float32)
+        params = [E, P, b]
+        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        t = 0
+        for phase, rounds in enumerate(phases):
+            if phase and spare:
+                hard = np.argsort(-self.word_logits(spare))[:MINED]
+                words = words + [spare[i] for i in hard]
+                taken = set(hard.tolist())
+                spare = [w for i, w in enumerate(spare) if i not in taken]
+            t = self._rounds(words, bags, labels, rounds, params, m, v, t)
+            self.value = E @ (P[:, 1] - P[:, 0])
+            self.bias = float(b[1] - b[0])
+        self.key = hashlib.sha256(self.value.tobytes() + str(self.bias).encode()).hexdigest()
+        return self
+
+    def _rounds(self, words: list[str], bags: list[list[str]], labels: list[int], rounds: int, params: list, m: list, v: list, t: int) -> int:
+        E, P, b = params
         number = {w: i for i, w in enumerate(words)}
         gram, first = grams(words, self.buckets)
         count = np.diff(np.append(first, len(gram)))
-        used, local = np.unique(gram, return_inverse=True)
-        by_gram = np.argsort(local, kind="stable")
+        by_gram = np.argsort(gram, kind="stable")
         of_word = np.repeat(np.arange(len(words)), count)[by_gram]
-        gram_first = np.searchsorted(local[by_gram], np.arange(len(used)))
+        used, gram_first = np.unique(gram[by_gram], return_index=True)
         docs = [[number[w] for w in bag if w in number] for bag in bags]
         keep = [i for i, d in enumerate(docs) if d]
         y = np.asarray([labels[i] for i in keep], np.float32)
@@ -92,38 +118,35 @@ class SubwordSoftmax:
         size = np.asarray([len(docs[i]) for i in keep])
         start, owner = np.cumsum(size) - size, np.repeat(np.arange(len(keep)), size)
         weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())).astype(np.float32)
-        E = rng.normal(0, 0.3, (len(used), DIM)).astype(np.float32)
-        P = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
-        b = np.asarray([2.0, -2.0], np.float32)
-        # one dimension starts from each n-gram's log-odds, shrunk where few toxic documents have it
-        with_class = [np.bincount(flat, weights=(y[owner] == k), minlength=len(words)) for k in (0, 1)]
-        clean_n, toxic_n = (np.add.reduceat(w[of_word], gram_first) for w in with_class)
-        odds = np.log((toxic_n + 0.5) / max(1, y.sum())) - np.log((clean_n + 0.5) / max(1, len(y) - y.sum()))
-        E[:, 0] = np.clip(odds * toxic_n / (toxic_n + SHRINK), -3, 3)
-        P[0] = (-START, START)
-        params = [E, P, b]
-        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        for t in range(1, rounds + 1):
-            bag = np.add.reduceat(E[local], first) / count[:, None]
+        if not t:
+            # one dimension starts from each n-gram's log-odds, shrunk where few toxic documents have it
+            with_class = [np.bincount(flat, weights=(y[owner] == k), minlength=len(words)) for k in (0, 1)]
+            clean_n, toxic_n = (np.add.reduceat(w[of_word], gram_first) for w in with_class)
+            odds = np.log((toxic_n + 0.5) / max(1, y.sum())) - np.log((clean_n + 0.5) / max(1, len(y) - y.sum()))
+            E[:, 0] = 0
+            E[used, 0] = np.clip(odds * toxic_n / (toxic_n + SHRINK), -3, 3)
+            P[0] = (-START, START)
+        for t in range(t + 1, t + rounds + 1):
+            bag = np.add.reduceat(E[gram], first) / count[:, None]
             logit = bag @ P + b
             s = (logit[:, 1] - logit[:, 0])[flat] / SOFT
             top = np.maximum.reduceat(s, start)
             e = np.exp(s - top[owner])
             total = np.add.reduceat(e, start)
             z = SOFT * (top + np.log(total))
-            dz = weight * (1 / (1 + np.exp(-z)) - y)
+            p_doc = 1 / (1 + np.exp(-z))
+            # a toxic label that the model finds hard to believe counts for less, so that wrong labels aren't learnt by heart
+            dz = weight * (p_doc - y) * np.where(y > 0, (p_doc + 0.02) ** TRUST, 1)
             ds = np.bincount(flat, weights=(e / total[owner]) * dz[owner], minlength=len(words)).astype(np.float32)
             dlogit = np.stack([-ds, ds], axis=1)
             dbag = (dlogit @ P.T) / count[:, None]
-            grads = [np.add.reduceat(dbag[of_word], gram_first) + DECAY * E, bag.T @ dlogit + DECAY * P, dlogit.sum(0)]
-            for p, g, mi, vi in zip(params, grads, m, v, strict=True):
+            gE = DECAY * E
+            gE[used] += np.add.reduceat(dbag[of_word], gram_first)
+            for p, g, mi, vi in zip(params, [gE, bag.T @ dlogit + DECAY * P, dlogit.sum(0)], m, v, strict=True):
                 mi += 0.1 * (g - mi)
                 vi += 0.01 * (g * g - vi)
                 p -= RATE * (mi / (1 - 0.9**t)) / (np.sqrt(vi / (1 - 0.99**t)) + 1e-8)
-        self.value[used] = E @ (P[:, 1] - P[:, 0])
-        self.bias = float(b[1] - b[0])
-        self.key = f"{hash(self.value.tobytes())}-{self.bias}"
-        return self
+        return t
 
     def word_logits(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -162,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> Su
     """docs: doc_id, text; labels: doc_id, toxic."""
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     # the sample is chosen among the ids alone; their texts are looked up by a join on at most 2 * per_class ids
-    chosen = [y.where(F.col("y") == k).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    chosen = [lowest(y.where(F.col("y") == k), F.xxhash64(F.lit(5), "doc_id"), per_class, ["doc_id"]) for k in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     bag = F.array_remove(F.array_distinct(F.split(text, r'[\s.,;:!?"()]+')), "")
@@ -174,6 +197,8 @@ def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = THRESHOLD)
     """docs with toxic_score and toxic_predicted added in front of its own columns (renamed where they clash)."""
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+    ship_code(docs.sparkSession)
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = once(("toxicity", model.key), lambda: Scorer(model))
         for b in batches:
