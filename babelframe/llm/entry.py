@@ -74,16 +74,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pack_min_slack": op10_pack_min_slack,
 }
 
-ORACLES: dict[str, str] = {
-    "op1_shard_interleave": """
-WITH crc_table AS (
+#: CRC-32 in SQL: the table of its bytes, and the fold over the bytes of a text column.
+CRC_TABLE = """crc_table AS (
   SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t
   FROM (SELECT range AS n FROM range(256))
-), docs AS (
+)"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(list_reduce(list_transform(regexp_extract_all(hex({text}), '..'), lambda p: CAST('0x' || p AS BIGINT)),
+                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_shard_interleave": f"""
+WITH {CRC_TABLE}, docs AS (
   SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
          md5('shard-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h,
-         xor(list_reduce(list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda p: CAST('0x' || p AS BIGINT)),
-                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS text_crc32
+         {_crc("coalesce(text, '')")} AS text_crc32
   FROM documents, crc_table
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) AS r, count(*) OVER (PARTITION BY source) AS n FROM docs
@@ -93,6 +101,19 @@ WITH crc_table AS (
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(k AS INTEGER) AS shard,
        CAST(p - (k * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM cut
+""",
+    "op4_warc_merkle_audit": f"""
+WITH {CRC_TABLE}, rec AS (
+  SELECT page_id, html, coalesce(CAST(floor(page_id / 1024.0) AS BIGINT), -1) AS warc_file,
+         'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none') || '>' || e || 'WARC-Target-URI: ' ||
+         coalesce(regexp_replace(url, '[\\r\\n]', '', 'g'), '') || e || 'Content-Type: text/html' || e || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || e || e || coalesce(html, '') || e || e AS r,
+         {_crc("CAST(page_id AS VARCHAR)")} AS c
+  FROM (SELECT *, chr(13) || chr(10) AS e FROM pages), crc_table
+), hashed AS (SELECT *, sha256(r) AS record_sha256, CAST(strlen(r) AS BIGINT) AS length FROM rec)
+SELECT page_id, warc_file, row_number() OVER w - 1 AS position,
+       CAST(coalesce(sum(length) OVER (PARTITION BY warc_file ORDER BY page_id NULLS FIRST, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+       length, record_sha256, NOT coalesce(c % 97 = 0 AND left(html, 1) <> '?', false) AS intact
+FROM hashed WINDOW w AS (PARTITION BY warc_file ORDER BY page_id NULLS FIRST, record_sha256)
 """,
     "op6_embedding_cover_tree": """
 WITH RECURSIVE v AS (
