@@ -87,18 +87,24 @@ class Stored:
             drop_path(self.spark, path)
 
 
-def components(spark: SparkSession, edges: DataFrame, stored: Stored, max_rounds: int = 200) -> DataFrame:
+#: Edges of a graph small enough (16 bytes each) for one task to solve.
+SMALL_GRAPH = 500_000
+
+
+def components(spark: SparkSession, edges: DataFrame, stored: Stored, small: int = SMALL_GRAPH, max_rounds: int = 200) -> DataFrame:
     """Connected components of undirected edges (a, b), both long.
 
     Returns (node, root): root is the smallest node id of the component; nodes without an edge are absent.
-    Hash-to-min with pointer jumping: each round a node takes the smallest root among its own, its
+    A graph of at most `small` edges, counted first, is solved by one task; its size is bounded, and so is the task.
+    A larger one goes by hash-to-min with pointer jumping: each round a node takes the smallest root among its own, its
     neighbours' and its root's. Partial aggregation keeps a hub's edges out of any one task, the joins
     are ones that adaptive execution can split, and each round's labels are a stored table. A path of
-    n nodes needs about log2(n) rounds. Nothing but the count of changed labels reaches the driver.
+    n nodes needs about log2(n) rounds. Nothing but counts reaches the driver.
     """
-    both = stored.put(
-        edges.where("a <> b").selectExpr("a AS u", "b AS v").union(edges.where("a <> b").selectExpr("b AS u", "a AS v")).distinct()
-    )
+    edges = stored.put(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if edges.count() <= small:
+        return stored.put(edges.repartition(1).mapInArrow(_solve, "node long, root long"))
+    both = stored.put(edges.selectExpr("a AS u", "b AS v").union(edges.selectExpr("b AS u", "a AS v")))
     labels = stored.put(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).select(F.col("u").alias("node"), "root"))
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("node").alias("v"), "root"), "v").select(F.col("u").alias("node"), "root")
@@ -117,6 +123,39 @@ def components(spark: SparkSession, edges: DataFrame, stored: Stored, max_rounds
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _solve(batches):
+    """All edges of a small graph -> (node, root), by union-find."""
+    import pyarrow as pa
+
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for r in batches:
+        for a, b in zip(r.column("a").to_pylist(), r.column("b").to_pylist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "root": pa.array([root(n) for n in nodes], pa.int64())})
+
+
+def merge_components(spark: SparkSession, labels: DataFrame, edges: DataFrame, stored: Stored) -> DataFrame:
+    """Components (node, root) after more edges (a, b): only the roots that these connect are solved anew."""
+    root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias("r" + x))
+    between = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(spark, between, stored).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    kept = labels.join(moved, labels["root"] == moved["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    fresh = moved.select(F.col("old").alias("node"), F.col("new").alias("root")).join(labels, "node", "left_anti")
+    return stored.put(kept.union(fresh))
+
+
 def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that found (doc_id, text_sha256, kept for every row of docs) marks as kept.
 
@@ -141,7 +180,7 @@ def lowest(df: DataFrame, h, n: int, ties: list[str]) -> DataFrame:
     """
     every = df.count()
     if every > 2 * n:
-        cut = -(1 << 63) + int((1 << 64) * 1.3 * n / every)
+        cut = -(1 << 63) + int((1 << 64) * min(1.0, (n + 8 * n**0.5 + 20) / every))  # eight deviations to spare
         df = df.where(h < F.lit(min(cut, (1 << 63) - 1)))
     return df.orderBy(h, *ties).limit(n)
 

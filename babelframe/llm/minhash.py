@@ -18,8 +18,8 @@ with an open position go on to twice the horizon.
 with probability under 1e-4. Copies of a text are one node. In each bucket of several nodes the smallest is
 paired with the others; pairs whose signatures agree too little to be similar go, the others are verified on
 the words themselves. Buckets whose nodes are by then in one class are done, since classes are what
-is asked for. In the others the remaining nodes' signatures are compared block by block, and pairs from different
-classes that may be similar are verified too: in the end every pair in a bucket was compared or is in one class.
+is asked for. In the others the remaining nodes get signatures of LONG positions, which are compared block by
+block, and pairs from different classes that may be similar are verified too: in the end every pair in a bucket was compared or is in one class.
 No bucket is gathered in a task, and pairs are emitted only where their signatures agree.
 
 Defined results: a null text is the empty one; equal texts are of one class, those without words too; a
@@ -37,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, by_size, components
+from .common import Stored, by_size, components, merge_components
 
 SHINGLE, THRESHOLD = 5, 0.8
 SIZE, ROWS = 192, 6
+LONG = 768
 #: Signature agreement that a pair of similarity 0.8 falls short of with probability under 1e-4, as with the bands.
 LEAST_AGREEMENT = 0.68
+LEAST_LONG_AGREEMENT = 0.745
 BLOCK = 256
-WAVES = 4
+WAVES = 2
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _P_INV = _U(pow(int(_P), -1, 1 << 64))
@@ -201,22 +203,36 @@ def _agree(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
 
 
-def _within(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b, agreement) of nodes of one bucket (key) and different classes (root) whose signatures agree often enough.
+def _long_signatures(texts: DataFrame) -> DataFrame:
+    """(node, sig, short) of every (node, text): LONG positions, and the usual ones."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in by_size(b, "text"):
+                made = (signatures(part.column("text").to_pylist(), n) for n in (LONG, SIZE))
+                sig, short = (pa.array([x.tobytes() for x in m], pa.binary()) for m in made)
+                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "sig": sig, "short": short})
+
+    return texts.select("node", "text").mapInArrow(sign, "node long, sig binary, short binary")
+
+
+def _within(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b, agreement) of nodes of one bucket (key) and different classes (root) whose long signatures agree often enough.
 
     A bucket of more than BLOCK nodes is dealt into blocks, and each pair of blocks is compared in a run of rows of its
-    own, so no run exceeds two blocks. Only what may be similar is emitted.
+    own, so no run exceeds two blocks. Only what may be similar is emitted, and by one bucket: that of the first band that
+    the two share. Where that bucket isn't open, or one of them was its smallest node, they were met before.
     """
     blocks = members.withColumn("parts", F.expr(f"CAST((n + {BLOCK} - 1) div {BLOCK} AS INT)"))
     blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
-    blocks = blocks.join(groups.select("node", "sig"), "node").select("key", "node", "root", "sig", "mine", other)
-    blocks = blocks.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "sig")
+    blocks = blocks.join(signed, "node").select("key", "band", "node", "root", "sig", "short", "mine", other)
+    blocks = blocks.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "node", "root", "sig", "short")
     ordered = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(rows: list) -> list[tuple[np.ndarray, ...]]:
-            i, j, mine, node, root, sig = (np.concatenate(c) for c in zip(*rows, strict=True))
+            i, j, mine, band, node, root, sig, short = (np.concatenate(c) for c in zip(*rows, strict=True))
             found = []
             one = np.flatnonzero(mine == i[0])
             two = one if i[0] == j[0] else np.flatnonzero(mine == j[0])
@@ -225,7 +241,9 @@ def _within(members: DataFrame, groups: DataFrame) -> DataFrame:
                 rest = rest[(root[rest] != root[x]) & (node[rest] != node[x])]
                 if len(rest):
                     same = (sig[rest] == sig[x]).mean(axis=1)
-                    hit = same >= LEAST_AGREEMENT
+                    hit = same >= LEAST_LONG_AGREEMENT
+                    shared = (short[rest[hit]] == short[x]).reshape(-1, SIZE // ROWS, ROWS).all(axis=2)
+                    hit[hit] = shared.argmax(axis=1) == band[0]
                     found.append((np.minimum(node[x], node[rest[hit]]), np.maximum(node[x], node[rest[hit]]), same[hit]))
             return found
 
@@ -233,8 +251,8 @@ def _within(members: DataFrame, groups: DataFrame) -> DataFrame:
         kinds = (("a", np.int64), ("b", np.int64), ("agreement", np.float64))
         out = lambda f: pa.RecordBatch.from_pydict({n: pa.array(np.concatenate([p[k] for p in f]) if f else np.zeros(0, t)) for k, (n, t) in enumerate(kinds)})
         for r in batches:
-            key, i, j, mine, node, root = (r.column(c).to_numpy() for c in ("key", "i", "j", "mine", "node", "root"))
-            sig = np.frombuffer(b"".join(r.column("sig").to_pylist()), np.uint8).reshape(-1, SIZE)
+            key, i, j, mine, band, node, root = (r.column(c).to_numpy() for c in ("key", "i", "j", "mine", "band", "node", "root"))
+            sig, short = (np.frombuffer(b"".join(r.column(c).to_pylist()), np.uint8).reshape(-1, n) for c, n in (("sig", LONG), ("short", SIZE)))
             new = np.ones(len(key), bool)
             new[1:] = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
             starts, found = np.flatnonzero(new).tolist(), []
@@ -244,7 +262,7 @@ def _within(members: DataFrame, groups: DataFrame) -> DataFrame:
                     found += run(rows)
                     rows = []
                 now = this
-                rows.append((i[a:b], j[a:b], mine[a:b], node[a:b], root[a:b], sig[a:b]))
+                rows.append((i[a:b], j[a:b], mine[a:b], band[a:b], node[a:b], root[a:b], sig[a:b], short[a:b]))
             yield out(found)
         if rows:
             yield out(run(rows))
@@ -281,11 +299,11 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = F.coalesce(F.col("one.doc_id"), F.shiftrightunsigned(F.xxhash64("digest"), 2) + F.lit(1 << 62))
     groups = stored.put(groups.select("digest", "sig", own.alias("node"), F.col("one.doc_id").alias("first_id"), F.col("one.rid").alias("rid"), "copies"))
 
-    bands = F.explode(F.expr(f"transform(sequence(0, {SIZE // ROWS - 1}), i -> xxhash64(i, substring(sig, i * {ROWS} + 1, {ROWS})))"))
+    bands = F.posexplode(F.expr(f"transform(sequence(0, {SIZE // ROWS - 1}), i -> xxhash64(i, substring(sig, i * {ROWS} + 1, {ROWS})))")).alias("band", "key")
     second = F.pmod("key", F.lit(1021)).alias("key2")  # joins on two keys are exchanged on both sides, and so can be split
-    rows = groups.where("sig IS NOT NULL").select("node", bands.alias("key"))
+    rows = groups.where("sig IS NOT NULL").select("node", bands)
     multi = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1 AND n IS NOT NULL").select("key", second, "n", "least")
-    members = stored.put(rows.select("node", "key", second).join(multi, ["key", "key2"]))
+    members = stored.put(rows.select("node", "band", "key", second).join(multi, ["key", "key2"]))
 
     wanted = members.select("node").distinct().join(groups.select("node", "digest", "first_id"), "node")
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
@@ -298,12 +316,13 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = components(spark, edges, stored)
 
     # what is left of buckets that still hold nodes of several classes
-    left = members.where("node <> least").select("key", "key2", "node").join(labels, "node", "left").select("key", "key2", "node", F.coalesce("root", "node").alias("root"))
+    left = members.where("node <> least").select("key", "key2", "band", "node").join(labels, "node", "left").select("key", "key2", "band", "node", F.coalesce("root", "node").alias("root"))
     open_ = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key", second, "n")
-    left = stored.put(left.join(open_, ["key", "key2"]).select("key", "n", "node", "root"))
+    left = stored.put(left.join(open_, ["key", "key2"]).select("key", "band", "n", "node", "root"))
     if not left.isEmpty():
-        # each node's most promising pair first, twice: most other pairs are within a class by then and need no words
-        late = stored.put(_within(left, groups).distinct())
+        # each node's most promising pair first: most other pairs are within a class by then and need no words
+        signed_long = stored.put(_long_signatures(texts.join(left.select("node").distinct(), "node", "left_semi")))
+        late = stored.put(_within(left, signed_long))
         for wave in range(WAVES):
             now = late
             if wave == WAVES - 1:
@@ -314,13 +333,14 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             chosen = stored.put(chosen)
             more = stored.put(_verify(chosen, texts, threshold))
             if not more.isEmpty():
-                edges = edges.union(more)
-                labels = components(spark, edges, stored)
+                labels = merge_components(spark, labels, more, stored)
+            if wave == WAVES - 1:
+                break
             root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias("r" + x))  # noqa: B023, E731
             late = late.join(chosen, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
             late = stored.put(late.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "agreement"))
             stored.drop(now)
-            if wave == WAVES - 1 or late.isEmpty():
+            if late.isEmpty():
                 break
 
     classes = groups.join(labels, "node", "left").select("digest", "node", F.col("rid").alias("first_rid"), "copies", F.coalesce("root", "node").alias("class_id"))
