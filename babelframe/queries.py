@@ -6,15 +6,20 @@ since their last digits depend on the order of addition.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sqlite3
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import REFERENCE, Dialect, load_dialect
+from .plans.store import shared_folder, store
 from .session import Engine
 from .sources.catalog import Catalog
+from .sources.tables import event_table, json_tables, literal_table, sqlite_tables
+from .sql.passes import limit_with_ties
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -219,3 +224,63 @@ FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_lin
     "b_distinct_pairs": C("SELECT DISTINCT event_type, user_id FROM events ORDER BY event_type, user_id"),
     "b_distinct_per_group": C("SELECT user_id, COUNT(DISTINCT event_type) AS kinds FROM events GROUP BY user_id ORDER BY kinds DESC, user_id LIMIT 20"),
 }
+
+
+def _parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1, S2: a table through the Parquet sink and back, in the shared folder."""
+    return store(Catalog.parquet(spark, sf_dir, TABLES).get("supplier"))
+
+
+def _literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: an in-memory table with an explicit schema, joined with a stored one."""
+    grades = literal_table(spark, [(0, "low", None), (1, "mid", 1.5), (2, "high", 2)], {"k": "INT", "grade": "TEXT", "w": "FLOAT"})
+    catalog = Catalog.parquet(spark, sf_dir, TABLES)
+    catalog.put("grades", grades)
+    return Engine(spark, REFERENCE, catalog).sql("SELECT n_name, grade, w FROM nation JOIN grades ON n_regionkey = k")
+
+
+def _sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5: nation through a SQLite file on the driver."""
+    rows = [tuple(r) for r in Catalog.parquet(spark, sf_dir, TABLES).get("nation").collect()]  # 25 rows
+    with tempfile.TemporaryDirectory() as d:
+        con = sqlite3.connect(f"{d}/n.db")
+        con.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey BIGINT)")
+        con.executemany("INSERT INTO nation VALUES (?, ?, ?)", rows)
+        con.commit()
+        con.close()
+        return Engine(spark, REFERENCE, sqlite_tables(spark, f"{d}/n.db")).sql("SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey")
+
+
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6: region as a line of a JSON-tables file."""
+    df = Catalog.parquet(spark, sf_dir, TABLES).get("region")
+    row = F.array(F.col("r_regionkey").cast("string"), F.col("r_name"))
+    line = df.agg(F.collect_list(row).alias("rows")).select(F.to_json(F.struct(F.lit("t").alias("id"), F.array(F.lit("key"), F.lit("name")).alias("header"), F.array(F.lit("real"), F.lit("text")).alias("types"), "rows")))
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    line.write.text(path)
+    return json_tables(spark, path)["t"]
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7: the seeded event generator."""
+    return Engine(spark, REFERENCE, {"github_events": event_table(spark, 5000)}).sql("SELECT event_type, COUNT(*) AS n, SUM(additions) AS a, MIN(created_at) AS first FROM github_events GROUP BY event_type")
+
+
+CASES |= {
+    "top_n": C("SELECT TOP 4 c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 4", dialect=REFERENCE.with_surface(limit_syntax="top_n")),
+    "try_cast": C("SELECT TRY_CAST(p_name AS INT) AS bad, TRY_CAST(p_size AS TEXT) AS t, p_partkey FROM part", "SELECT TRY_CAST(p_name AS BIGINT) AS bad, CAST(p_size AS VARCHAR) AS t, p_partkey FROM part"),
+    "x_pass_ties": C("SELECT p_partkey FROM part ORDER BY p_size LIMIT 2", "SELECT p_partkey FROM (SELECT p_partkey, RANK() OVER (ORDER BY p_size) AS r FROM part) WHERE r <= 2", engine={"passes": [limit_with_ties]}),
+    "x_operator": C("SELECT n_nationkey, DOUBLED(n_regionkey) AS d FROM nation", "SELECT n_nationkey, n_regionkey * 2 AS d FROM nation", engine={"operators": {"DOUBLED": lambda a, s: a[0] * 2}}),
+    "x_effect_like": C("SELECT n_nationkey FROM nation WHERE n_name LIKE 'N'", "SELECT n_nationkey FROM nation WHERE starts_with(n_name, 'N')", engine={"effects": {"text_in_pattern": lambda x, p, s, cs: F.startswith(x, p)}}),
+    "w_ntile": C("SELECT o_orderkey, NTILE(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS q FROM orders"),
+    "w_no_order": C("SELECT n_nationkey, SUM(n_nationkey) OVER () AS s, MAX(n_name) OVER (PARTITION BY n_regionkey) AS m FROM nation", "SELECT n_nationkey, CAST(SUM(n_nationkey) OVER () AS BIGINT) AS s, MAX(n_name) OVER (PARTITION BY n_regionkey) AS m FROM nation"),
+}
+
+#: Sources and sinks: (query, DuckDB's SQL or None).
+SOURCES = {
+    "source_parquet_round_trip": (_parquet_round_trip, "SELECT * FROM supplier"),
+    "source_literal": (_literal, "SELECT n_name, grade, w FROM nation JOIN (VALUES (0, 'low', CAST(NULL AS DOUBLE)), (1, 'mid', 1.5), (2, 'high', 2.0)) AS g(k, grade, w) ON n_regionkey = k"),
+    "source_sqlite": (_sqlite, "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, COUNT(*) AS n FROM nation GROUP BY 1"),
+    "source_json_tables": (_json, "SELECT CAST(r_regionkey AS DOUBLE) AS key, r_name AS name FROM region"),
+    "source_event_generator": (_events, None),
+}
