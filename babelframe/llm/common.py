@@ -32,8 +32,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
+def _drop_at_exit(spark: SparkSession, path: str, name: str | None = None) -> None:
     try:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         drop_path(spark, path)
     except Exception:  # the JVM has gone already; its own clean-up is the cluster's matter
         pass
@@ -78,7 +80,7 @@ class Stored:
         name = f"bf_{uuid.uuid4().hex}"
         path = f"{scratch_dir(self.spark)}/{name}"
         df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
-        atexit.register(_drop_at_exit, self.spark, path)
+        atexit.register(_drop_at_exit, self.spark, path, name)
         return self.spark.read.table(name)
 
     def drop(self, df: DataFrame | None) -> None:
