@@ -65,13 +65,14 @@ class Stored:
     def __init__(self, spark: SparkSession):
         ship_code(spark)
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.paths: set[str] = set()
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{scratch_dir(self.spark)}/bf-{uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._stored_at = path
+        self.paths.add(path)
         atexit.register(_drop_at_exit, self.spark, path)
         return out
 
@@ -84,8 +85,15 @@ class Stored:
         return self.spark.read.table(name)
 
     def drop(self, df: DataFrame | None) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
+        path = getattr(df, "_stored_at", None)
+        if path in self.paths:
+            self.paths.discard(path)
+            drop_path(self.spark, path)
+
+    def keep_only(self, *needed: DataFrame) -> None:
+        """Drops every table made here but those that a result still reads."""
+        for path in self.paths - {df._stored_at for df in needed}:
+            self.paths.discard(path)
             drop_path(self.spark, path)
 
 

@@ -257,8 +257,9 @@ def embed_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int = B
     labels = components(spark, linked.select(F.col("node").alias("a"), F.col("root").alias("b")), stored)
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     per_point = points.select("label", "embedding", "node", "many").join(links, "node", "left").join(labels, "node", "left")
-    per_point = per_point.select("label", "embedding", F.col("dim") if "dim" in per_point.columns else F.size("embedding").alias("dim"), "node", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    per_point = per_point.select("label", "embedding", F.size("embedding").alias("dim"), "node", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     per_point = stored.put(per_point)
+    stored.keep_only(rows, per_point)
     usable = rows.where("usable").withColumn("dim", F.size("embedding")).join(per_point, ["label", "embedding", "dim"]).select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("root")).alias("component_id"))
     rest = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     every = usable.union(rest)

@@ -347,5 +347,6 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size")).withColumn("c2", F.pmod("class_id", F.lit(1021)))
     classes = classes.withColumn("c2", F.pmod("class_id", F.lit(1021))).join(sizes, ["class_id", "c2"]).withColumn("d2", F.substring("digest", 1, 2))
     classes = stored.put(classes.select("digest", "d2", "class_id", "class_size", "node", "first_rid"))
+    stored.keep_only(signed, classes)
     rows = signed.select("doc_id", "rid", "digest", F.substring("digest", 1, 2).alias("d2")).join(classes, ["digest", "d2"])
     return rows.select("doc_id", "class_id", "class_size", ((F.col("node") == F.col("class_id")) & (F.col("rid") == F.col("first_rid"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
