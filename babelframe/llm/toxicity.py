@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import by_size, lowest, once, ship_code
 
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 1200
 BUCKETS, DIM = 1 << 16, 8
 GRAMS = (3, 4, 5)
 PHASES, MINED = (24, 10, 10), 12_000
@@ -149,10 +150,11 @@ class SubwordSoftmax:
         return t
 
     def word_logits(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        gram, first = grams(words, self.buckets)
-        return np.add.reduceat(self.value[gram], first) / np.diff(np.append(first, len(gram))) + self.bias
+        out = np.empty(len(words), np.float32)
+        for a in range(0, len(words), 20_000):
+            gram, first = grams(words[a : a + 20_000], self.buckets)
+            out[a : a + 20_000] = np.add.reduceat(self.value[gram], first) / np.diff(np.append(first, len(gram))) + self.bias
+        return out
 
 
 def clean(text: str) -> str:
@@ -190,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> Su
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     bag = F.array_remove(F.array_distinct(F.split(text, r'[\s.,;:!?"()]+')), "")
     rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", bag.alias("bag"), "y").orderBy("doc_id").limit(4 * per_class).collect()
-    return SubwordSoftmax().fit([r["bag"] for r in rows], [int(r["y"] > 0) for r in rows])
+    bags, y = [[intern(w) for w in r["bag"]] for r in rows], [int(r["y"] > 0) for r in rows]
+    del rows
+    return SubwordSoftmax().fit(bags, y)
 
 
 def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = THRESHOLD) -> DataFrame:
