@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import by_size, lowest, once, ship_code
 
-TRAIN_DOCS = 1200
+TRAIN_DOCS = 800
 BUCKETS, DIM = 1 << 16, 8
 GRAMS = (3, 4, 5)
-PHASES, MINED = (24, 10, 10), 12_000
+PHASES, MINED = (24, 10, 10), 10_000
 RATE, DECAY, SOFT = 0.05, 2e-6, 0.5
 SHRINK, START = 4.0, 0.5
 TRUST = 1.0
