@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, lowest, ship_code
 from .toxicity import held_out
 
 HIDDEN, WINDOW = 12, 64
@@ -176,9 +176,10 @@ class BiGru:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, samples: int = SAMPLES, window: int = TRAIN_WINDOW) -> BiGru | None:
     """docs: doc_id, text, lang. The sample's places are cut out on the executors; a few hundred kilobytes reach the driver."""
-    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
+    usable = lowest(docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))), F.xxhash64(F.lit(6), "doc_id"), train_docs, ["doc_id", "lang"])
+    usable = usable.where(F.length("text") > 0)
     near = F.expr(f"transform(sequence(0, {samples - 1}), i -> substring(text, 1 + CAST(pmod(xxhash64(doc_id, i), greatest(1, length(text) - {window})) AS INT), {window}))")
-    rows = usable.select("doc_id", F.xxhash64(F.lit(6), "doc_id").alias("h"), "lang", near.alias("places")).orderBy("h", "doc_id", "lang").limit(train_docs).collect()
+    rows = usable.select("doc_id", "lang", near.alias("places")).orderBy("doc_id", "lang", "places").collect()
     if not rows:
         return None
     langs = sorted({r["lang"] for r in rows})
@@ -197,6 +198,8 @@ def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
     """docs with __lang_pred and __lang_score appended to its own columns."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+    ship_code(docs.sparkSession)
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in by_size(b, "text"):
