@@ -143,6 +143,6 @@ def test_packing_odd_rows(spark, word_bpe):
     rows = pack(df, with_ids=True).collect()
     assert all(np.asarray(x["ids"], "<u4").tobytes() and zlib.crc32(np.asarray(x["ids"], "<u4").tobytes()) == x["ids_crc32"] for x in rows)
     single = [(r["doc_id"], r["text"]) for r in df.collect() if r["doc_id"] not in (None, 1)]
-    check_packing([x for x in rows if True], single, word_bpe, CAPACITY)
+    check_packing(rows, single, word_bpe, CAPACITY)
     assert sum(x["length"] for x in rows if x["doc_id"] is None) == len(word_bpe.encode("no id here").ids) + 2
     assert pack(empty_documents(spark)).count() == 0 and places([]).empty

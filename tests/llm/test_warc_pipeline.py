@@ -45,7 +45,7 @@ def test_lost_record(spark):
     assert any(r["page_id"] == 9000 and r["in_a"] for r in found)
     files = {r["file"] for r in found}
     assert files == {9000 // 1024}  # only the file that lost it: later records of that file moved
-    assert all(n.count() == 1 for n in (a.levels[-1],) if n.count() < 2)
+    assert a.levels[-1].count() <= 2  # a root for each sign of the ids
 
 
 def test_empty_pages(spark):
