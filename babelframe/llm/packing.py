@@ -9,8 +9,9 @@ least padding, backtracking yields how many of each length it takes, and the pat
 often as the counts allow. Each pattern uses up a length, so there are a few thousand patterns at most.
 
 Pieces then learn their place from their rank among pieces of equal length. Ranks come from the counts
-of fixed cells (length, hash) plus the place within a cell, so that a length which a third of all
-documents share is dealt over many tasks.
+of cells (length, hash) plus the place within a cell. A length has as many cells as its pieces need at
+CELL_ROWS to a cell, so neither full windows, the most frequent length, nor a length that a third of all
+documents share puts more than about that many rows into one sort, however large the corpus.
 
 Padding: a sequence is padded to the capacity, except where its ids number a power of two.
 
@@ -36,7 +37,7 @@ from .common import Stored, by_size, once, ship_file, vocabulary
 
 CAPACITY = 2048
 SEPARATOR = 1
-CELLS = 512
+CELL_ROWS = 20_000
 MEMO_WORDS = 900_000
 
 #: Beyond these, lower-casing by Python and by the tokenizer may differ.
@@ -53,7 +54,8 @@ class WordIds:
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those of its
     white-space-separated words. Each distinct word is encoded by the library once and kept, up to a
-    bound. Texts with characters on which word splitting could differ are encoded whole.
+    bound. Texts with characters on which word splitting could differ are encoded whole. So are texts that hold a
+    special string in another case: the library looks for special strings before it lower-cases.
     """
 
     def __init__(self, data: bytes):
@@ -67,6 +69,11 @@ class WordIds:
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.ranked = self._by_rank(data)
         self.memo: dict[str, bytes] = {}
+        special = [t["content"] for t in json.loads(data)["added_tokens"]]
+        self.cased = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
+
+    def _whole(self, text: str) -> bool:
+        return _odd(text) or (self.cased is not None and any(m != m.lower() for m in self.cased.findall(text)))
 
     @staticmethod
     def _by_rank(data: bytes):
@@ -98,7 +105,9 @@ class WordIds:
         for token, i in spec["vocab"].items():
             if all(c in byte_of for c in token.removesuffix("</w>")) and raw(token) in ranks:
                 id_of[ranks[raw(token)]] = i
-        return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece, id_of
+        made = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+        core = getattr(getattr(made, "_core_bpe", None), "encode_single_piece", None)
+        return None if core is None else (core, id_of)  # a word's end isn't UTF-8, so the public call can't take it
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -149,7 +158,7 @@ class WordIds:
     def __call__(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
         for x in texts:
-            split.append(None if _odd(x) else x.lower().split())
+            split.append(None if self._whole(x) else x.lower().split())
         new = set().union(*(s for s in split if s)) - self.memo.keys()
         if len(self.memo) + 2 * len(new) > MEMO_WORDS:
             self.memo.clear()
@@ -247,15 +256,17 @@ def places(plan: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "sequence", "offset"], dtype="int64").sort_values(["length", "first"])
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cells: int = CELLS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cell_rows: int = CELL_ROWS, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids) for every piece."""
     spark = docs.sparkSession
     stored = Stored(spark)
     cut = stored.put(pieces(docs, path or vocabulary("word_bpe_49k.json"), capacity, with_ids))
     h = F.xxhash64("doc_id", "start", "ids_crc32")
-    keyed = cut.withColumn("h", h).withColumn("cell", F.pmod(h, F.lit(cells)).cast("int"))
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    cells = F.array(*(F.lit(-(-counts.get(k, 1) // cell_rows)) for k in range(1, capacity + 1)))
+    cells = spark.range(1).select(F.posexplode(cells).alias("k", "cells")).select((F.col("k") + 1).cast("long").alias("length"), "cells")
+    keyed = cut.withColumn("h", h).join(F.broadcast(cells), "length").withColumn("cell", F.pmod("h", "cells")).drop("cells")
     per = keyed.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = places(least_slack(counts, capacity))
     code = (plan["length"].to_numpy() << 44) + plan["first"].to_numpy()
     table = spark.sparkContext.broadcast((code, plan["first"].to_numpy(), plan["sequence"].to_numpy(), plan["offset"].to_numpy()))

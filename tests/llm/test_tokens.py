@@ -38,8 +38,9 @@ def word_bpe():
 
 def random_texts(n, seed=2):
     r = random.Random(seed)
-    letters = "ab 'stredvml'  \n\t é中😀!?.\"1٣½́ΣİS<|endoftext|>"
-    return ["".join(r.choice(letters) for _ in range(r.randrange(0, 60))) for _ in range(n)]
+    letters = "ab 'stredvml'  \n\t é中😀!?.\"1٣½́ΣİS"
+    special = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>"]
+    return ["".join(r.choice(special) if r.random() < 0.02 else r.choice(letters) for _ in range(r.randrange(0, 60))) for _ in range(n)]
 
 
 def test_counts_match_the_library(byte_bpe):
@@ -86,7 +87,7 @@ def test_encoding_matches_the_library(spark, block_chars):
 
 
 def test_word_ids_match_the_library(word_bpe):
-    texts = [*random_texts(1500, 7), "aaaa bbbb, ccc. x., y ,z e.g. U.S.A. don't", "Straße ÀÉ ﬁ"]
+    texts = [*random_texts(1500, 7), "aaaa bbbb, ccc. x., y ,z e.g. U.S.A. don't", "Straße ÀÉ ﬁ", "<|ENDOFTEXT|>", "x<|ENDOFTEXT|>y", "<|EndOfText|>", "<|STARTOFTEXT|> a <|endoftext|>", "<|endoftext|>", "<|endoftext|> <|ENDOFTEXT|>"]
     encode = WordIds(read("word_bpe_49k.json"))
     for _ in range(2):  # once learning, once from memory
         assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [e.ids for e in word_bpe.encode_batch(texts, add_special_tokens=False)]
@@ -135,7 +136,7 @@ def check_packing(rows, docs, word_bpe, capacity):
 
 def test_packing(spark, word_bpe):
     docs = corpus(200, 6)
-    check_packing(pack(spark.createDataFrame(docs, "doc_id long, text string"), capacity=256, cells=4).collect(), docs, word_bpe, 256)
+    check_packing(pack(spark.createDataFrame(docs, "doc_id long, text string"), capacity=256, cell_rows=7).collect(), docs, word_bpe, 256)
 
 
 def test_packing_odd_rows(spark, word_bpe):
