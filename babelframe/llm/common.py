@@ -14,15 +14,28 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "/tmp/checkpoints/babelframe"
 
 
+def unused(columns, *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of the columns has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process may go without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or LOCAL_SCRATCH).rstrip("/")
 
 
@@ -97,7 +110,7 @@ class Stored:
             drop_path(self.spark, path)
 
 
-#: Edges of a graph small enough (16 bytes each) for one task to solve.
+#: Documented parameter: a graph of at most so many edges (16 bytes each) is solved by one task. 0 sends all through the rounds.
 SMALL_GRAPH = 500_000
 
 
@@ -172,17 +185,17 @@ def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     Rows are known by doc_id and text. Where such a pair is repeated, one row stays; texts are grouped for that only
     if there are repeats at all.
     """
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("__sha", sha)
-    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha")).distinct()
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__kept_sha"]), "left_semi")
+    sha, other_id, other_sha = unused([*docs.columns, "doc_id", "text_sha256"], "sha", "kept_id", "kept_sha")
+    rows = docs.withColumn(sha, F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
+    kept = found.where("kept").select(F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_sha)).distinct()
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept[other_id]) & (rows[sha] == kept[other_sha]), "left_semi")
     repeated = found.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
     if repeated:
-        rows = rows.dropDuplicates(["doc_id", "__sha"])
-    return rows.drop("__sha")
+        rows = rows.dropDuplicates(["doc_id", sha])
+    return rows.drop(sha)
 
 
-def lowest(df: DataFrame, h, n: int, ties: list[str]) -> DataFrame:
+def lowest(df: DataFrame, h, n: int, ties: list) -> DataFrame:
     """The n rows of df with the lowest hash h (a long, evenly spread).
 
     Rows are counted first and only those under a matching cut of the hash's range are sorted, so that the

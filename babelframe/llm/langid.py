@@ -4,13 +4,16 @@ A text's UTF-8 bytes are cut into windows of WINDOW bytes. Two GRUs of HIDDEN un
 from either end; a softmax over both states labels every byte; a document's probabilities are the mean
 over all its bytes. Training is backpropagation through time with Adam, on the label at every byte.
 
-The fit is on a bounded sample: TRAIN_DOCS labelled documents in hash order, SAMPLES places of each.
+The fit is on a bounded sample: TRAIN_DOCS labelled documents in order of a hash of doc_id and text, SAMPLES
+places of each. The hash doesn't know the language and takes in the text, so rows whose doc_id is null or repeated are
+sampled like any others; rows without a text aren't candidates.
 Prediction reads every byte of every text, thousands of windows side by side, both directions in one step.
 A padding byte leaves a state as it is, so a short window reads like a longer one.
 
 Defined results: `und` with score 0 where the text is null, empty or without a letter, and everywhere if
 there is nothing to learn from; learning uses rows with a text and a lang whose crc32 of doc_id as text
-is not 2 modulo 4; repeated rows are predicted each; an empty table gives an empty result.
+is not 2 modulo 4; rows without a doc_id are learnt from; repeated rows are predicted each; an empty table gives
+an empty result; predict() leaves all other columns as they are, and its new ones take names that none of them has.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, lowest, ship_code
+from .common import by_size, lowest, ship_code, unused
 from .toxicity import held_out
 
 HIDDEN, WINDOW = 12, 64
@@ -176,9 +179,9 @@ class BiGru:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, samples: int = SAMPLES, window: int = TRAIN_WINDOW) -> BiGru | None:
     """docs: doc_id, text, lang. The sample's places are cut out on the executors; a few hundred kilobytes reach the driver."""
-    usable = lowest(docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))), F.xxhash64(F.lit(6), "doc_id"), train_docs, ["doc_id", "lang"])
-    usable = usable.where(F.length("text") > 0)
-    near = F.expr(f"transform(sequence(0, {samples - 1}), i -> substring(text, 1 + CAST(pmod(xxhash64(doc_id, i), greatest(1, length(text) - {window})) AS INT), {window}))")
+    able = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
+    usable = lowest(able.select("doc_id", "lang", "text"), F.xxhash64(F.lit(6), "doc_id", "text"), train_docs, ["doc_id", F.xxhash64(F.lit(7), "text")])
+    near = F.expr(f"transform(sequence(0, {samples - 1}), i -> substring(text, 1 + CAST(pmod(xxhash64(doc_id, text, i), greatest(1, length(text) - {window})) AS INT), {window}))")
     rows = usable.select("doc_id", "lang", near.alias("places")).orderBy("doc_id", "lang", "places").collect()
     if not rows:
         return None
@@ -194,11 +197,12 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, samples: int = SAMPLES,
     return BiGru(langs).learn(np.stack(windows), np.asarray(y))
 
 
-def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
-    """docs with __lang_pred and __lang_score appended to its own columns."""
+def predict(docs: DataFrame, model: BiGru | None, names: tuple[str, str] | None = None) -> DataFrame:
+    """docs with two columns appended, language and score: `names`, or lang_pred and lang_score made unlike docs' own."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     ship_code(docs.sparkSession)
+    extra = list(names or unused(docs.columns, "lang_pred", "lang_score"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,11 +216,10 @@ def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
                         lang[i], score[i] = model.langs[k], min(1.0, s)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, *extra])
 
-    extra = ["__lang_pred", "__lang_score"]
     return docs.mapInArrow(apply, StructType([*docs.schema.fields, StructField(extra[0], StringType()), StructField(extra[1], DoubleType())]))
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs."""
-    found = predict(docs.select("doc_id", "text"), train(docs.select("doc_id", "text", "lang")))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
+    found = predict(docs.select("doc_id", "text"), train(docs.select("doc_id", "text", "lang")), ("lang_pred", "score"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -1,18 +1,25 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams (3 to 5, with word ends marked). Each n-gram hashes to a bucket
+A bag is a multiset of character n-grams (3 to 5, with word ends marked). Each n-gram hashes to a bucket
 with an embedding; a bag is the average of its embeddings; a linear softmax over two classes reads it.
-Embeddings and softmax are trained together, by Adam on the whole sample, from document labels alone: a
-document's logit is a smooth maximum over its words' logits, so that a few words mark a text of any
-length. A misspelling that was never seen shares most n-grams with words that were.
+Embeddings and softmax are trained together, by Adam on the whole sample, from document labels alone. A
+misspelling that was never seen shares most n-grams with words that were.
 
-The fit is on a bounded sample, TRAIN_DOCS documents of either class in hash order, reduced on the executors
+What a bag is taken over, `pool` says, in the fit and in scoring alike. `document`: one bag for all distinct words of a
+text. `words`, the default: a bag for each distinct word, and the text's logit is a smooth maximum (log-sum-exp at
+temperature SOFT) over all of them, so that a few words mark a text of any length. In texts of up to 20,000 words one
+average drowns the few words that the label is about; the README has held-out figures of both.
+
+The fit is on a bounded sample, TRAIN_DOCS labelled documents of either class in hash order, reduced on the executors
 to their distinct words. Scoring reads every whole text: each distinct word is scored once in a worker
-and kept up to a bound, and the best TOP words' logits make the document's score.
+and kept up to a bound, and every distinct word counts.
 
 Defined results: null and empty texts get the score of a document without words; labels are learnt only from
-rows where crc32 of doc_id as text is not 2 modulo 4; where a document has several labels the highest holds;
-without labelled rows every score is 0; repeated rows are scored each; an empty table gives an empty result.
+rows where crc32 of doc_id as text is not 2 modulo 4 and only for ids that have a document; any label above 0 is toxic; where
+a document has several labels the highest holds, and where a doc_id has several texts one of them is learnt from, chosen by a
+hash; without labels of both kinds every score is that of a document without words, about 2e-9; repeated rows are
+scored each; an empty table gives an empty result; score() leaves all other columns as they are, and its new ones
+take names that none of them has.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, lowest, once, ship_code
+from .common import by_size, lowest, once, ship_code, unused
 
 TRAIN_DOCS = 800
 BUCKETS, DIM = 1 << 16, 8
@@ -35,7 +42,6 @@ PHASES, MINED = (24, 10, 10), 10_000
 RATE, DECAY, SOFT = 0.05, 2e-6, 0.5
 SHRINK, START = 4.0, 0.5
 TRUST = 1.0
-TOP = 8
 THRESHOLD = 0.3
 MEMO_WORDS = 600_000
 MARKS = ".,;:!?\"()"
@@ -70,8 +76,10 @@ def grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 class SubwordSoftmax:
     """Trained weights, reduced for scoring to one number a bucket: its embedding times the softmax's difference."""
 
-    def __init__(self, buckets: int = BUCKETS):
-        self.buckets, self.value, self.bias, self.key = buckets, np.zeros(buckets, np.float32), -20.0, "none"
+    def __init__(self, buckets: int = BUCKETS, pool: str = "words"):
+        if pool not in ("words", "document"):
+            raise ValueError("pool is words or document")
+        self.buckets, self.pool, self.value, self.bias, self.key = buckets, pool, np.zeros(buckets, np.float32), -20.0, "none"
 
     def fit(self, bags: list[list[str]], labels: list[int], phases: tuple[int, ...] = PHASES, seed: int = 7) -> SubwordSoftmax:
         """Words of one document only are left out at first, lest they be learnt by heart. Between the phases those of
@@ -101,7 +109,7 @@ class SubwordSoftmax:
             t = self._rounds(words, bags, labels, rounds, params, m, v, t)
             self.value = E @ (P[:, 1] - P[:, 0])
             self.bias = float(b[1] - b[0])
-        self.key = hashlib.sha256(self.value.tobytes() + str(self.bias).encode()).hexdigest()
+        self.key = hashlib.sha256(self.value.tobytes() + f"{self.pool} {self.bias}".encode()).hexdigest()
         return self
 
     def _rounds(self, words: list[str], bags: list[list[str]], labels: list[int], rounds: int, params: list, m: list, v: list, t: int) -> int:
@@ -130,15 +138,11 @@ class SubwordSoftmax:
         for t in range(t + 1, t + rounds + 1):
             bag = np.add.reduceat(E[gram], first) / count[:, None]
             logit = bag @ P + b
-            s = (logit[:, 1] - logit[:, 0])[flat] / SOFT
-            top = np.maximum.reduceat(s, start)
-            e = np.exp(s - top[owner])
-            total = np.add.reduceat(e, start)
-            z = SOFT * (top + np.log(total))
+            z, share = pooled((logit[:, 1] - logit[:, 0])[flat], count[flat], start, owner, self.pool)
             p_doc = 1 / (1 + np.exp(-z))
             # a toxic label that the model finds hard to believe counts for less, so that wrong labels aren't learnt by heart
             dz = weight * (p_doc - y) * np.where(y > 0, (p_doc + 0.02) ** TRUST, 1)
-            ds = np.bincount(flat, weights=(e / total[owner]) * dz[owner], minlength=len(words)).astype(np.float32)
+            ds = np.bincount(flat, weights=share * dz[owner], minlength=len(words)).astype(np.float32)
             dlogit = np.stack([-ds, ds], axis=1)
             dbag = (dlogit @ P.T) / count[:, None]
             gE = DECAY * E
@@ -150,11 +154,28 @@ class SubwordSoftmax:
         return t
 
     def word_logits(self, words: list[str]) -> np.ndarray:
-        out = np.empty(len(words), np.float32)
+        return self.word_terms(words)[0] + self.bias
+
+    def word_terms(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word: the average over its n-grams, and how many they are."""
+        mean, many = np.empty(len(words), np.float32), np.empty(len(words), np.int64)
         for a in range(0, len(words), 20_000):
             gram, first = grams(words[a : a + 20_000], self.buckets)
-            out[a : a + 20_000] = np.add.reduceat(self.value[gram], first) / np.diff(np.append(first, len(gram))) + self.bias
-        return out
+            many[a : a + 20_000] = np.diff(np.append(first, len(gram)))
+            mean[a : a + 20_000] = np.add.reduceat(self.value[gram], first) / many[a : a + 20_000]
+        return mean, many
+
+
+def pooled(logit: np.ndarray, many: np.ndarray, start: np.ndarray, owner: np.ndarray, pool: str) -> tuple[np.ndarray, np.ndarray]:
+    """A document's logit from those of its words, and each word's share in it. many: n-grams of each word."""
+    if pool == "document":
+        share = many / np.add.reduceat(many, start)[owner]
+        return np.add.reduceat(share * logit, start), share
+    s = logit / SOFT
+    top = np.maximum.reduceat(s, start)
+    e = np.exp(s - top[owner])
+    total = np.add.reduceat(e, start)
+    return SOFT * (top + np.log(total)), e / total[owner]
 
 
 def clean(text: str) -> str:
@@ -166,42 +187,55 @@ def clean(text: str) -> str:
 
 class Scorer:
     def __init__(self, model: SubwordSoftmax):
-        self.model, self.memo = model, {}
+        self.model, self.number = model, {}
+        self.logit, self.many = np.empty(MEMO_WORDS, np.float32), np.empty(MEMO_WORDS, np.int64)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         bags = [set(clean(x).split()) for x in texts]
-        new = list(set().union(*bags) - self.memo.keys())
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
+        known = self.number
+        new = list(set().union(*bags) - known.keys())
+        if len(known) + len(new) > len(self.logit):
+            known.clear()
             new = list(set().union(*bags))
-        self.memo.update(zip(new, self.model.word_logits(new).tolist(), strict=True))
-        get, out = self.memo.__getitem__, np.empty(len(texts))
-        for i, bag in enumerate(bags):
-            best = sorted(map(get, bag), reverse=True)[:TOP] or [self.model.bias]
-            s = np.asarray(best) / SOFT
-            out[i] = SOFT * (s[0] + np.log(np.exp(s - s[0]).sum()))
+            if len(new) > len(self.logit):
+                self.logit, self.many = np.empty(len(new), np.float32), np.empty(len(new), np.int64)
+        a, b = len(known), len(known) + len(new)
+        mean, self.many[a:b] = self.model.word_terms(new)
+        self.logit[a:b] = mean + self.model.bias
+        known.update(zip(new, range(a, b), strict=True))
+        out, has = np.full(len(texts), float(self.model.bias)), np.flatnonzero([bool(x) for x in bags])
+        if len(has):
+            flat = np.fromiter((known[w] for x in bags for w in x), np.int64)
+            size = np.asarray([len(bags[i]) for i in has])
+            start, owner = np.cumsum(size) - size, np.repeat(np.arange(len(has)), size)
+            # sorted, so that a text's score doesn't depend on the order of a set
+            flat = flat[np.lexsort((self.logit[flat], owner))]
+            out[has] = pooled(self.logit[flat].astype(np.float64), self.many[flat], start, owner, self.model.pool)[0]
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> SubwordSoftmax:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, pool: str = "words") -> SubwordSoftmax:
     """docs: doc_id, text; labels: doc_id, toxic."""
-    y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("y"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     # the sample is chosen among the ids alone; their texts are looked up by a join on at most 2 * per_class ids
-    chosen = [lowest(y.where(F.col("y") == k), F.xxhash64(F.lit(5), "doc_id"), per_class, ["doc_id"]) for k in (0, 1)]
+    chosen = [lowest(known.where(F.col("y") == F.lit(k)), F.xxhash64(F.lit(5), "doc_id"), per_class, ["doc_id"]) for k in (False, True)]
     ids = F.broadcast(chosen[0].union(chosen[1]))
+    one = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     bag = F.array_remove(F.array_distinct(F.split(text, r'[\s.,;:!?"()]+')), "")
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", bag.alias("bag"), "y").orderBy("doc_id").limit(4 * per_class).collect()
-    bags, y = [[intern(w) for w in r["bag"]] for r in rows], [int(r["y"] > 0) for r in rows]
+    rows = one.select("doc_id", bag.alias("bag"), "y").orderBy("doc_id").collect()  # one row an id
+    bags, y = [[intern(w) for w in r["bag"]] for r in rows], [int(r["y"]) for r in rows]
     del rows
-    return SubwordSoftmax().fit(bags, y)
+    return SubwordSoftmax(pool=pool).fit(bags, y)
 
 
-def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with toxic_score and toxic_predicted added in front of its own columns (renamed where they clash)."""
+def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = THRESHOLD, names: tuple[str, str] | None = None) -> DataFrame:
+    """docs with two columns appended, score and predicted: `names`, or toxic_score and toxic_predicted made unlike docs' own."""
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
     ship_code(docs.sparkSession)
+    extra = list(names or unused(docs.columns, "toxic_score", "toxic_predicted"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = once(("toxicity", model.key), lambda: Scorer(model))
@@ -210,12 +244,11 @@ def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = THRESHOLD)
                 p = scorer([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype("int32"))], names=[*part.schema.names, *extra])
 
-    extra = ["__toxic_score", "__toxic_predicted"]
     schema = StructType([*docs.schema.fields, StructField(extra[0], DoubleType()), StructField(extra[1], IntegerType())])
     return docs.mapInArrow(apply, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, pool: str = "words") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__toxic_score").alias("score"), F.col("__toxic_predicted").alias("predicted"))
+    scored = score(docs.select("doc_id", "text"), train(docs, labels, pool=pool), names=("score", "predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
