@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from babelframe.llm.embed_dedup import embed_dedup
+from babelframe.llm.embed_dedup import CoverTree, Run, embed_dedup
 from babelframe.llm.minhash import multisets, near_dedup, overlap, signatures
 
 from .data import classes, corpus, empty_documents, odd_documents
@@ -72,7 +72,7 @@ def test_near_dedup_odd_rows(spark):
     assert near_dedup(empty_documents(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block", [16, 1024])
+@pytest.mark.parametrize("block", [16, 2048])
 def test_embed_dedup_against_brute_force(spark, block):
     r = np.random.RandomState(3)
     rows, centres = [], r.normal(size=(12, 16))
@@ -97,6 +97,59 @@ def test_embed_dedup_against_brute_force(spark, block):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n[k], rows[root[k]][0], rows[root[k]][0] == i)
 
 
+def test_embed_dedup_many_blocks(spark):
+    """Clusters of every density over many blocks: pairs taken whole, pairs of anchors left undecided, single points."""
+    r = np.random.RandomState(5)
+    rows, centres = [], r.normal(size=(9, 12))
+    for i in range(700):
+        k = r.randint(9) if i % 3 else 0
+        v = centres[k] + r.normal(size=12) * (0.02, 0.1, 0.22)[k % 3]
+        rows.append((i, [float(x) for x in v], 1))
+    x = np.asarray([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = x @ x.T >= 0.93
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(hit, 1)), strict=True)]
+    root = classes(len(rows), links)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for small in (0, 500_000):
+        got = {g["vec_id"]: g for g in embed_dedup(df, block=40, small_graph=small).collect()}
+        assert len(got) == 700 and all((got[i]["n_links"], got[i]["component_id"]) == (hit[i].sum() - 1, root[i]) for i in range(700))
+
+
+def test_cover_tree_levels():
+    """Nested levels with halving radii, each point in one branch, down to single points."""
+    r = np.random.RandomState(2)
+    u = np.concatenate([c + r.normal(size=(60, 10)) * s for c, s in zip(r.normal(size=(10, 10)), [0.01, 0.05, 0.3] * 4)])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    t = CoverTree(u)
+    leaves = []
+    for k, ids in enumerate(t.points):
+        assert t.centre[k] in ids and abs(t.radius[k] - np.linalg.norm(u[ids] - u[t.centre[k]], axis=1).max()) < 1e-9
+        if not t.many[k]:
+            leaves += ids.tolist()
+            continue
+        kids = t.children(k)
+        assert t.centre[k] in t.centre[kids] and sorted(np.concatenate([t.points[c] for c in kids])) == sorted(ids)
+        if len(ids) > 8:
+            level = next(2.0 ** (1 - n) for n in range(60) if 2.0 ** (1 - n) / 2 < t.radius[k])
+            assert all(t.radius[c] <= level / 2 + 1e-7 for c in kids)
+            gaps = np.linalg.norm(u[t.centre[kids]][:, None] - u[t.centre[kids]], axis=2) + 9 * np.eye(len(kids))
+            assert gaps.min() > level / 2 - 1e-7
+    assert sorted(leaves) == list(range(len(u)))
+
+
+def test_dual_traversal_prunes():
+    r = np.random.RandomState(7)
+    x = np.concatenate([c + r.normal(size=(40, 32)) * s for c, s in zip(r.normal(size=(50, 32)), [0.01, 0.08, 0.12, 0.2, 0.25] * 10)])
+    run = Run(x, None, 0.93)
+    all_pairs = len(x) * (len(x) - 1) // 2
+    assert run.pruned > 0 and run.compared < all_pairs / 10 and run.node_pairs < all_pairs / 4
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    node, links, _ = run.report([np.arange(len(x))], [np.ones(len(x), np.int64)])
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert dict(zip(node.tolist(), links.tolist())) == {i: n for i, n in enumerate(want.tolist()) if n}
+
+
 def test_embed_dedup_odd_rows(spark):
     schema = "vec_id long, embedding array<float>, label int, node string, cell string"
     v = [1.0, 2.0, 3.0]
