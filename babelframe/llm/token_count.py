@@ -14,10 +14,19 @@ of any length is just more chunks.
 *Tokens.* Within a pre-token the machine reads bytes. A state is what the future can depend on: the
 suffix that may still be inside a token, and at each position where such a token might begin, the last
 token of the encoding so far and the token count relative to the current one. A transition carries the
-change of the count. Which token ends at a position follows from adjacency: of the vocabulary's tokens
+change of the count, the number of tokens that it emits. Which token ends at a position follows from adjacency: of the vocabulary's tokens
 that are a suffix there, exactly one may follow the last token before it, where two tokens may be
 adjacent if no merge across their seam would come before the merges that built them. Transitions are
-compiled when first taken and kept, up to a bound, as are counts of whole pre-tokens.
+compiled when first taken and kept, up to a bound, as are the maps of whole pre-tokens.
+
+*Counts.* A text is cut into chunks of SPAN characters, and each chunk gets its map from the state in which it is
+entered to (state at exit, tokens emitted). The token machine has far too many states to list a map entry by
+entry, but every pre-token begins in state 0, so a chunk with a boundary in it maps all entry states to one exit state, and
+only the bytes before its first boundary, its head, see the entry state. A map is held as (head, tokens after the
+head, exit state); one without a boundary is its head alone, to be walked from whatever state comes in. Such maps compose
+associatively, with counts adding up, and a text's count is the composition of its chunks' maps by the same scan.
+A pre-token of many chunks, which no boundary resets, is the one case in which the scan can't do better than
+walking the bytes in order.
 
 Defined results: null is the empty text, with 0 bytes and tokens; every row gets its row, repeats
 included; special strings in a text count one token each, as the library's default has it; an empty table
@@ -28,6 +37,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +48,7 @@ from .common import by_size, once, ship_file, vocabulary
 
 LIMIT = 512
 CHUNK = 256
+SPAN = 1 << 16
 MAX_TRANSITIONS, MAX_WORDS = 1_200_000, 500_000
 
 # Symbols
@@ -218,17 +229,43 @@ class ByteTransducer:
         move = self.moves[state << 8 | byte] = to << 8 | base - here + 128
         return move
 
-    def count(self, word: bytes) -> int:
-        if len(self.moves) > MAX_TRANSITIONS:
-            self.restart()
-        state, total, get = 0, 0, self.moves.get
+    def walk(self, state: int, word: bytes) -> tuple[int, int]:
+        """The state after word, and the tokens emitted on the way."""
+        total, get = 0, self.moves.get
         for b in word:
             move = get(state << 8 | b)
             if move is None:
                 move = self._compile(state, b)
             state = move >> 8
             total += move & 255
-        return total - 128 * len(word)
+        return state, total - 128 * len(word)
+
+
+class ChunkMap(NamedTuple):
+    """entry state -> (exit state, tokens). exit is None where no pre-token begins in the chunk: then the head is all there is."""
+
+    head: bytes
+    tokens: int
+    exit: int | None
+
+    def __call__(self, machine: ByteTransducer, state: int) -> tuple[int, int]:
+        at, n = machine.walk(state, self.head)
+        return (at, n) if self.exit is None else (self.exit, n + self.tokens)
+
+    def then(self, machine: ByteTransducer, later: ChunkMap) -> ChunkMap:
+        if self.exit is None:
+            return ChunkMap(self.head + later.head, later.tokens, later.exit)
+        state, n = later(machine, self.exit)
+        return ChunkMap(self.head, self.tokens + n, state)
+
+
+def scan(machine: ByteTransducer, maps: list[ChunkMap]) -> list[ChunkMap]:
+    """Inclusive prefix composition by doubling: the i-th becomes the map of chunks 0..i."""
+    step = 1
+    while step < len(maps):
+        maps = maps[:step] + [maps[i - step].then(machine, maps[i]) for i in range(step, len(maps))]
+        step *= 2
+    return maps
 
 
 class TokenCounter:
@@ -252,10 +289,28 @@ class TokenCounter:
         if found is None:
             if len(self.words) >= MAX_WORDS:
                 self.words.clear()
-            found = self.words[word] = self.machine.count(word.encode())
+            found = self.words[word] = self.machine.walk(0, word.encode())[1]
         return found
 
-    def __call__(self, texts: list[str]) -> list[int]:
+    def _chunked(self, text: str, starts: list[int], span: int) -> int:
+        """Tokens of a text longer than a chunk, whose pre-tokens begin at starts: the composition of its chunks' maps."""
+        if len(self.machine.moves) > MAX_TRANSITIONS:
+            self.machine.restart()
+        maps, k = [], 0
+        for a in range(0, len(text), span):
+            end, first = min(a + span, len(text)), k
+            while k < len(starts) and starts[k] < end:
+                k += 1
+            mine = starts[first:k]
+            if not mine:
+                maps.append(ChunkMap(text[a:end].encode(), 0, None))
+                continue
+            tokens = sum(map(self._word, (text[x:y] for x, y in zip(mine, mine[1:]))))
+            state, n = self.machine.walk(0, text[mine[-1] : end].encode())
+            maps.append(ChunkMap(text[a : mine[0]].encode(), tokens + n, state))
+        return scan(self.machine, maps)[-1](self.machine, 0)[1]
+
+    def __call__(self, texts: list[str], span: int = SPAN) -> list[int]:
         totals, parts, owner = [0] * len(texts), [], []
         for i, x in enumerate(texts):
             split = [x]
@@ -272,11 +327,21 @@ class TokenCounter:
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(p) for p in parts])
         starts = boundaries(symbols(codes, ends, self.classes))
-        cuts = [*starts.tolist(), len(whole)]
-        get, word, counts = self.words.get, self._word, np.empty(len(starts), np.int64)
-        counts[:] = [c if (c := get(w := whole[a:b])) is not None else word(w) for a, b in zip(cuts, cuts[1:])]
-        sums = np.add.reduceat(counts, np.searchsorted(starts, np.concatenate([[0], ends[:-1]])))
-        for i, n in zip(owner, sums.tolist(), strict=True):
+        begin = np.searchsorted(starts, np.concatenate([[0], ends]))  # of each part's pre-tokens
+        if len(self.machine.moves) > MAX_TRANSITIONS:
+            self.machine.restart()
+        for k in [k for k, p in enumerate(parts) if len(p) > span]:
+            base = int(ends[k]) - len(parts[k])
+            totals[owner[k]] += self._chunked(parts[k], (starts[begin[k] : begin[k + 1]] - base).tolist(), span)
+        # a text of one chunk is one map, entered in state 0: its tokens are the sum over its pre-tokens
+        short = np.asarray([len(p) <= span for p in parts])
+        mine = np.repeat(short, np.diff(begin))
+        cuts = np.append(starts, len(whole))
+        get, word = self.words.get, self._word
+        counts = [c if (c := get(w := whole[a:b])) is not None else word(w) for a, b in zip(starts[mine].tolist(), cuts[1:][mine].tolist(), strict=True)]
+        sums = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])
+        upto = np.concatenate([[0], np.cumsum(np.diff(begin)[short])])
+        for i, n in zip(np.asarray(owner)[short].tolist(), np.diff(sums[upto]).tolist(), strict=True):
             totals[i] += n
         return totals
 

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 from babelframe.llm.bpe import decode, encode_decode, pack_numbers, unpack_numbers  # noqa: E402
 from babelframe.llm.packing import CAPACITY, WordIds, least_slack, pack, places  # noqa: E402
-from babelframe.llm.token_count import TokenCounter, boundaries, symbols, token_counts  # noqa: E402
+from babelframe.llm.token_count import ChunkMap, TokenCounter, boundaries, scan, symbols, token_counts  # noqa: E402
 
 from .data import corpus, empty_documents, odd_documents  # noqa: E402
 
@@ -48,6 +48,18 @@ def test_counts_match_the_library(byte_bpe):
     assert TokenCounter(read("byte_bpe_50k.json"))(texts) == [len(e.ids) for e in byte_bpe.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_chunk_maps(byte_bpe):
+    """Texts of many chunks, and pre-tokens that span several, whatever the chunk; the composition is associative."""
+    counter = TokenCounter(read("byte_bpe_50k.json"))
+    texts = [*random_texts(200, 9), "x" * 300, "longestwordwithoutanybreak" * 20 + " a b", " " * 90 + "'s", "中文" * 60]
+    want = [len(e.ids) for e in byte_bpe.encode_batch(texts, add_special_tokens=False)]
+    for span in (1, 2, 7, 64):
+        assert counter(texts, span) == want
+    m = counter.machine
+    a, b, c = ChunkMap(b"", 0, m.walk(0, b"long")[0]), ChunkMap(b"est", 0, None), ChunkMap(b"word", 3, m.walk(0, b"x")[0])
+    assert a.then(m, b).then(m, c) == a.then(m, b.then(m, c)) == scan(m, [a, b, c])[-1]
+
+
 def test_chunk_size_does_not_matter():
     counter = TokenCounter(read("byte_bpe_50k.json"))
     texts = [t for t in random_texts(60, 6) if t]
