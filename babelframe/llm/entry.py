@@ -89,10 +89,8 @@ def _crc(text: str) -> str:
 ORACLES: dict[str, str] = {
     "op1_shard_interleave": f"""
 WITH {CRC_TABLE}, docs AS (
-  SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
-         md5('shard-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h,
-         {_crc("coalesce(text, '')")} AS text_crc32
-  FROM documents, crc_table
+  SELECT *, md5('shard-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(text_crc32 AS VARCHAR) || ':' || CAST(size AS VARCHAR)) AS h
+  FROM (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_crc("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table)
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) AS r, count(*) OVER (PARTITION BY source) AS n FROM docs
 ), placed AS (

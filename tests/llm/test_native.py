@@ -18,8 +18,8 @@ from .data import classes, corpus, empty_documents, odd_documents
 def brute_positions(rows, shards):
     by = defaultdict(list)
     for k, (doc_id, text, source) in enumerate(rows):
-        h = hashlib.md5(f"shard-1:{'null' if doc_id is None else doc_id}".encode()).hexdigest()
         b = (text or "").encode()
+        h = hashlib.md5(f"shard-1:{'null' if doc_id is None else doc_id}:{zlib.crc32(b)}:{len(b) + 1}".encode()).hexdigest()
         by[source].append((h, doc_id is not None, doc_id or 0, zlib.crc32(b), len(b) + 1, k))
     out = []
     for group in by.values():
@@ -45,6 +45,18 @@ def test_interleave_against_brute_force(spark, shards):
         assert all(abs(mix[s, source] - n / shards) <= 2 for s in range(shards))
 
 
+def test_interleave_hot_ids(spark):
+    """Half the rows without a doc_id, and a fifth one repeated row: ranks as by brute force, and no cell holds them together."""
+    r = random.Random(6)
+    rows = [(None, f"text {i}", r.choice("ab")) for i in range(3000)] + [(7, "same", "a")] * 1200 + [(i, "t", "b") for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((x["doc_id"], x["text_crc32"], x["shard"]) for x in interleave(df, 7, digits=2, cells=64).collect())
+    want = Counter((rows[k][0], zlib.crc32(rows[k][1].encode()), s) for k, s in brute_positions(rows, 7))
+    assert got == want
+    key = F.md5(F.concat(F.lit("shard-1:null:"), F.crc32(F.col("text").cast("binary")).cast("string"), F.lit(":"), (F.octet_length("text") + 1).cast("string")).cast("binary"))
+    assert df.where("doc_id IS NULL").groupBy(F.substring(key, 1, 1)).count().agg({"count": "max"}).first()[0] < 400
+
+
 def test_interleave_odd_rows(spark):
     got = interleave(odd_documents(spark)).collect()
     assert len(got) == 16 and {x["law"] for x in got} == {"rows"} and all(x["grown_shard"] is None for x in got)
