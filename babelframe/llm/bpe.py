@@ -10,6 +10,18 @@
 3. The ids are joined back to the blocks, in rows of the same make, and each document is put together by
    position. Decoding looks every id up in the token-byte table, whose size the vocabulary fixes.
 
+What stands for each step of the plain form, a row for every pre-token of every document:
+
+- exploding pre-tokens with positions: step 1. The i-th number of a document is its pre-token at position i. A row
+  (document, position, word) for each would write several times the input to disk; a number takes one to four bytes.
+- encoding each distinct word once: step 2, the shuffle of distinct words by hash. A word that several blocks hold is met in
+  one task; it is encoded again only if more than MEMO_WORDS other words of its bucket came in between.
+- joining ids back: step 3, a join of the encoded words with the blocks on the block's number, then on the word's
+  number in it. It is checked that every number finds exactly one word.
+- reassembling by position: the ids of a document in the order of its numbers.
+- joining the token-byte table for decoding: a look-up of every id in the table on its side, as a broadcast join would,
+  whose size the vocabulary fixes. decode() does the same for any column of ids.
+
 No document's tokens are exploded to rows; what is shuffled is the blocks' dictionaries and the packed
 numbers. The largest thing a task holds is one block (or one text, where a text is longer).
 
@@ -34,6 +46,7 @@ from pyspark.sql import functions as F
 from .common import Stored, once, ship_file, vocabulary
 
 BLOCK_CHARS = 24_000_000
+MEMO_WORDS = 1_000_000
 
 BLOCKS = "block long, bucket int, first long, words binary, doc_ids array<bigint>, sizes array<bigint>, numbers binary"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -81,11 +94,13 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Codec:
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes):
         import tiktoken
 
         ranks = read_ranks(data)
-        self.encode_piece = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        made = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})  # a piece is one match
+        # the call for bytes isn't public; the public one takes the piece as text
+        self.encode_piece = getattr(made, "_encode_single_piece", None) or (lambda piece: made.encode_ordinary(piece.decode("utf-8", "surrogatepass")))
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.bytes_of[i] = token
@@ -158,7 +173,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
     made = stored.put_bucketed(blocks(docs, pattern, buckets, block_chars), "block", parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = once(("codec", key, pattern), lambda: Codec(data.value, pattern))
+        codec = once(("codec", key), lambda: Codec(data.value))
         memo: dict[bytes, list[int]] = {}
         now = None
         for b in batches:
@@ -174,6 +189,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
                     at += n
                     found = memo.get(word)
                     if found is None:
+                        if len(memo) >= MEMO_WORDS:
+                            memo.clear()
                         found = memo[word] = codec.encode_piece(word)
                     ids += found
                     sizes.append(len(found))
@@ -189,7 +206,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
     whole = made.where("bucket < 0").select("block", "doc_ids", "sizes", "numbers")
 
     def put_together(docs: pa.Table, words: pa.Table) -> pa.Table:
-        codec = once(("codec", key, pattern), lambda: Codec(data.value, pattern))
+        codec = once(("codec", key), lambda: Codec(data.value))
         where, counts, ids = [], [], []
         if docs.num_rows != 1:
             raise RuntimeError("a block has lost its documents")
