@@ -77,7 +77,7 @@ class CoverTree:
                 self.centre.append(i)
                 scale.append(s / 2)
             k += 1
-        self.centre, self.radius = np.asarray(self.centre), np.asarray(self.radius)
+        self.centre, self.radius, self.many = np.asarray(self.centre), np.asarray(self.radius), np.asarray(self.many)
 
     def net(self, ids: np.ndarray, centre: int, radius: float) -> list[tuple[int, np.ndarray]]:
         """Centres further apart than radius, the given one first, and the points that each is the first to cover."""
@@ -127,17 +127,18 @@ class Run:
         self._walk()
 
     def _walk(self) -> None:
+        """Nodes meet in rectangles: the children of one node, and all nodes of the other tree that it is undecided with."""
         a, b = self.trees[0], self.trees[-1]
-        stack = [(0, 0)]
-        if self.same and 2 * a.radius[0] < self.reach - EPS and len(a.u) > 1:
+        root = np.zeros(1, np.int64)
+        if not self.same:
+            stack = [(root, root, False)]
+        elif 2 * a.radius[0] < self.reach - 2 * EPS:
             self.whole.append((a.points[0], a.points[0]))
             return
+        else:
+            stack = [(a.children(0), a.children(0), True)] if a.many[0] else []
         while stack:
-            k, j = stack.pop()
-            own = self.same and k == j
-            rows, cols = a.children(k), b.children(j)
-            if own and not a.many[k]:
-                continue
+            rows, cols, own = stack.pop()
             for at in range(0, len(rows), 512):
                 self._meet(rows[at : at + 512], cols, own, at, stack)
 
@@ -146,30 +147,42 @@ class Run:
         cos = a.u[a.centre[rows]] @ b.u[b.centre[cols]].T
         d = np.sqrt(np.maximum(0.0, 2 - 2 * cos))
         slack = a.radius[rows][:, None] + b.radius[cols]
-        pair = np.ones(d.shape, bool) if not own else np.arange(d.shape[1]) > np.arange(at, at + d.shape[0])[:, None]
-        self.node_pairs += int(pair.sum())
-        near = pair & (d - slack <= self.reach + 2 * EPS + 1e-8)
-        self.pruned += int(pair.sum()) - int(near.sum())
+        near = d - slack <= self.reach + 2 * EPS + 1e-8
+        total = d.size
+        if own:
+            later = np.arange(d.shape[1]) > np.arange(at, at + d.shape[0])[:, None]
+            near &= later
+            total = int(later.sum())
         i, j = np.nonzero(near)
-        single_a, single_b = (np.asarray([t.many[n] == 0 for n in x], bool) for t, x in ((a, rows), (b, cols)))
-        r, c = rows[i], cols[j]
-        inside = d[i, j] + slack[i, j] < self.reach - 2 * EPS - 1e-8
-        both = single_a[i] & single_b[j]
-        points = both & (slack[i, j] == 0)  # two single points: their cosine decides
-        self.compared += int(points.sum())
-        self._decide(a.centre[r[points]], b.centre[c[points]], cos[i[points], j[points]])
-        for k in np.flatnonzero(inside & ~points).tolist():
-            self.whole.append((a.points[r[k]], b.points[c[k]]))
-        left = ~inside & ~points
-        if (both & left).any():
-            self.open.append((a.centre[r[both & left]], b.centre[c[both & left]]))
-        stack += list(zip(r[left & ~both].tolist(), c[left & ~both].tolist(), strict=True))
+        self.node_pairs += total
+        self.pruned += total - len(i)
+        single_a, single_b = a.many[rows] == 0, b.many[cols] == 0
         if own:
             for k in rows[~single_a].tolist():
                 if 2 * a.radius[k] < self.reach - 2 * EPS:
                     self.whole.append((a.points[k], a.points[k]))
                 else:
-                    stack.append((k, k))
+                    stack.append((a.children(k), a.children(k), True))
+        if not len(i):
+            return
+        d, slack, cos = d[i, j], slack[i, j], cos[i, j]
+        row_single, both = single_a[i], single_a[i] & single_b[j]
+        points = both & (slack == 0)  # two single points: their cosine decides
+        self.compared += int(points.sum())
+        self._decide(a.centre[rows[i[points]]], b.centre[cols[j[points]]], cos[points])
+        inside = (d + slack < self.reach - 2 * EPS - 1e-8) & ~points
+        for r, c in zip(rows[i[inside]].tolist(), cols[j[inside]].tolist(), strict=True):
+            self.whole.append((a.points[r], b.points[c]))
+        left = ~inside & ~points
+        if (both & left).any():
+            self.open.append((a.centre[rows[i[both & left]]], b.centre[cols[j[both & left]]]))
+        down = np.flatnonzero(left & ~row_single)  # sorted by row
+        for part in np.split(down, np.flatnonzero(np.diff(i[down])) + 1) if len(down) else []:
+            stack.append((a.children(rows[i[part[0]]]), cols[j[part]], False))
+        down = np.flatnonzero(left & row_single & ~both)
+        down = down[np.argsort(j[down], kind="stable")]
+        for part in np.split(down, np.flatnonzero(np.diff(j[down])) + 1) if len(down) else []:
+            stack.append((rows[i[part]], b.children(cols[j[part[0]]]), False))
 
     def _decide(self, i: np.ndarray, j: np.ndarray, cos: np.ndarray) -> None:
         x, y = self.raw[0], self.raw[-1]
