@@ -69,6 +69,15 @@ KEYWORDS = {
 OPERATORS = {"eq": ["="], "neq": ["<>", "!="], "lt": ["<"], "lte": ["<="], "gt": [">"], "gte": [">="], "add": ["+"], "sub": ["-"], "mul": ["*"], "div": ["/"], "mod": ["%"], "concat": ["||"], "null_safe_eq": ["IS NOT DISTINCT FROM"]}
 
 
+#: Settings by which a dialect describes itself, with the values that there are. Whatever they say, joins are written FROM a JOIN b
+#: ON or USING, conditions CASE WHEN, and the order of rows after SELECT: no dialect has another form. Other values are refused at load.
+LABELS = {
+    "join_syntax": {"ansi", "keyword_filter", "pipelined"},
+    "case_syntax": {"case_when", "pipeline"},
+    "order_by_position": {"after_select", "inside_from_brace"},
+}
+
+
 @dataclass(frozen=True)
 class SurfaceSpec:
     """How SQL is written. keywords and operators hold only what differs from KEYWORDS and OPERATORS."""
@@ -80,11 +89,11 @@ class SurfaceSpec:
     wildcard: str = "*"  # *, ., @
     keywords: dict = field(default_factory=dict)
     operators: dict = field(default_factory=dict)  # a list of spellings; an empty one drops the operator
-    join_syntax: str = "ansi"
+    join_syntax: str = "ansi"  # a label: see LABELS
     order_by_position: str = "after_select"
     limit_syntax: str = "limit_offset"  # limit_offset, offset_fetch, top_n, sample_n, head_n
     cast_syntax: str = "cast_as"  # cast_as, double_colon, convert_fn, as_fn
-    case_syntax: str = "case_when"
+    case_syntax: str = "case_when"  # a label: see LABELS
     function_aliases: dict = field(default_factory=dict)
     requires_terminator: bool = False
     terminator: str = ";"
@@ -112,6 +121,9 @@ class Dialect:
         known = {f.name for f in fields(SurfaceSpec)}
         if extra := set(surface) - known:
             raise ValueError(f"unknown surface settings: {', '.join(sorted(extra))}")
+        for k, values in LABELS.items():
+            if surface.get(k) is not None and surface[k] not in values:
+                raise ValueError(f"{k} is one of {', '.join(sorted(values))}, not {surface[k]!r}")
         semantics = dict(d.get("semantics", {}))
         known = {f.name for f in fields(SemanticConfig)}
         if extra := set(semantics) - known:

@@ -60,7 +60,13 @@ def _date_trunc(a: list[Bound], s: Semantics) -> Bound:
     part = _part(a[0], {"year", "quarter", "month", "week", "day", "hour", "minute", "second"}, "DATE_TRUNC")
     if a[1].kind == "DATE":
         return Bound(a[1].col if part in ("day", "hour", "minute", "second") else F.trunc(a[1].col, part), "DATE")
-    return Bound(F.date_trunc(part, _time(a[1])).cast("timestamp_ntz"), "TIMESTAMP")
+    x = _time(a[1]).cast("timestamp_ntz")
+    if part in ("hour", "minute", "second"):  # Spark's own goes through the session's time zone
+        second = F.extract(F.lit("second"), x)  # with its fraction
+        over = {"second": F.pmod(second, F.lit(1)), "minute": second, "hour": second + 60 * F.minute(x)}[part]
+        return Bound(x - F.make_dt_interval(secs=over), "TIMESTAMP")
+    day = x.cast("date") if part == "day" else F.trunc(x.cast("date"), part)
+    return Bound(day.cast("timestamp_ntz"), "TIMESTAMP")
 
 
 def _shift(sign: int) -> Callable[[list[Bound], Semantics], Bound]:
@@ -93,9 +99,9 @@ def _date_diff(a: list[Bound], s: Semantics) -> Bound:
     elif unit == "year":
         out = F.year(y) - F.year(x)
     elif unit in ("hour", "minute", "second"):
-        x, y = (c.cast("timestamp_ntz") for c in (x, y))
-        micros = F.unix_micros(y.cast("timestamp")) - F.unix_micros(x.cast("timestamp"))
-        out = cut(micros, {"hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000}[unit])
+        gap = y.cast("timestamp_ntz") - x.cast("timestamp_ntz")  # an interval of days to seconds, whatever the time zone
+        seconds = F.extract(F.lit("day"), gap) * 86400 + F.extract(F.lit("hour"), gap) * 3600 + F.extract(F.lit("minute"), gap) * 60 + F.extract(F.lit("second"), gap)
+        out = cut(seconds, {"hour": 3600, "minute": 60, "second": 1}[unit])
     else:
         raise BindError(f"unknown unit {unit!r} in DATE_DIFF")
     return Bound(out.cast("bigint"), "INT")

@@ -187,9 +187,3 @@ class Semantics:
 
     def total(self, col: Column) -> Column:
         return col if self.c.sum_of_empty_returns_null else F.coalesce(col, F.lit(0))
-
-    def count_distinct(self, col: Column) -> Column:
-        n = F.count_distinct(col)
-        if self.c.count_distinct_null == "included":
-            n = n + F.coalesce(F.max(col.isNull().cast("bigint")), F.lit(0))
-        return n

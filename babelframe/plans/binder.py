@@ -2,7 +2,7 @@
 
 Every relation's columns get names of their own on entry, so that joins, self joins and correlated queries never clash;
 names that users see return at the outermost select. A block is bound clause by clause: FROM, WHERE, aggregation, HAVING,
-windows, QUALIFY, DISTINCT, ORDER BY, LIMIT. Nothing runs while binding, but for recursion. Catalyst sees one
+windows, QUALIFY, DISTINCT, ORDER BY, LIMIT. Nothing runs while binding, but for recursion, whose rounds do. Catalyst sees one
 declarative plan.
 """
 
@@ -25,7 +25,7 @@ from ..sql import tree as t
 from .store import store
 
 _RESOLVED = t.Name("\0")
-MAX_ROUNDS, MAX_ROWS = 10_000, 10_000_000
+MAX_ROUNDS = 10_000
 
 
 @dataclass
@@ -53,11 +53,14 @@ class Context:
     ready: dict = field(default_factory=dict)  # canonical expression -> Bound
     grouped: bool = False
     parent: Context | None = None
+    correlated: bool = False  # an expression bound here named a column of the query around it
 
 
 class Binder:
-    def __init__(self, spark, dialect: Dialect, catalog: Callable[[str], DataFrame | None], functions: dict | None = None, operators: dict | None = None, effects: dict | None = None):
+    def __init__(self, spark, dialect: Dialect, catalog: Callable[[str], DataFrame | None], functions: dict | None = None, operators: dict | None = None, effects: dict | None = None, max_recursive_rows: int | None = None):
         self.spark, self.d, self.c = spark, dialect, dialect.semantics
+        self.max_recursive_rows = max_recursive_rows
+        self.scalar_body: t.Select | None = None  # of the scalar query being bound
         self.catalog = catalog
         self.s = Semantics(self.c, effects)
         aliases = {k: list(v) if not isinstance(v, str) else [v] for k, v in {**dialect.surface.function_aliases, **self.c.function_aliases}.items()}
@@ -103,11 +106,9 @@ class Binder:
 
     def query(self, q: t.Query, env: dict[str, Relation], parent: Context | None = None) -> Relation:
         env = dict(env)
-        if q.recursive and len(q.ctes) == 1 and self.mentions(q.ctes[0]):
-            env[q.ctes[0].name.text.lower()] = self.recursion(q.ctes[0], env)
-        else:
-            for cte in q.ctes:
-                env[cte.name.text.lower()] = self.query(cte.query, env, parent)
+        for cte in q.ctes:
+            recursive = q.recursive and self.mentions(cte)
+            env[cte.name.text.lower()] = self.recursion(cte, env) if recursive else self.query(cte.query, env, parent)
         if isinstance(q.body, t.Select):
             return self.select(q.body, q, env, parent)
         out = self.body(q.body, env, parent)
@@ -161,20 +162,19 @@ class Binder:
             return r.df.select(*(to_kind(Bound(F.col(c.internal), c.kind), k.kind).cast(SPARK_TYPE.get(k.kind, "string")).alias(n) for c, k, n in zip(r.cols, seed.cols, names, strict=True)))
 
         cols = [ScopeCol(None, c.name, n, c.kind if c.kind != "NULL" else "TEXT") for c, n in zip(seed.cols, names, strict=True)]
-        new = store(aligned(seed) if body.all else aligned(seed).distinct())
-        every, rows = new, new.count()
+        new, rows = store(aligned(seed) if body.all else aligned(seed).distinct())
+        every = new
         for _ in range(MAX_ROUNDS):
             step = aligned(self.body(body.right, {**env, cte.name.text.lower(): Relation(new, cols)}, None))
             if not body.all:
                 match = [F.col(f"n.{n}").eqNullSafe(F.col(f"o.{n}")) for n in names]
                 step = step.distinct().alias("n").join(every.alias("o"), match, "left_anti")
-            new = store(step)
-            n = new.count()
+            new, n = store(step)
             if not n:
                 return Relation(every, cols)
             rows += n
-            if rows > MAX_ROWS:
-                raise RunError(f"recursion made over {MAX_ROWS} rows")
+            if self.max_recursive_rows is not None and rows > self.max_recursive_rows:
+                raise RunError(f"recursion made over {self.max_recursive_rows} rows")
             every = every.union(new)
         raise RunError(f"recursion did not end in {MAX_ROUNDS} rounds")
 
@@ -293,7 +293,9 @@ class Binder:
         calls = [n for n in t.walk(tuple(x for x in used if x is not None)) if self.is_aggregate(n)]
         grouped = bool(group or calls or s.having is not None)
         ctx = base
-        if grouped:
+        if grouped and group and base.correlated and s is self.scalar_body:
+            df, ctx = self.only_group(df, group, calls, s, base, env)
+        elif grouped:
             df, ctx = self.aggregate(df, group, calls, base, env)
             if s.having is not None:
                 df = df.where(self.predicate(s.having, ctx, env))
@@ -417,6 +419,29 @@ class Binder:
             df = df.select(*keys).distinct()
         return df, Context(base.cols, ready, True, base.parent)
 
+    def only_group(self, df: DataFrame, group: list[t.Node], calls: list[t.Call], s: t.Select, base: Context, env: dict) -> tuple[DataFrame, Context]:
+        """A correlated scalar query with GROUP BY has one group or none for each outer row, or it is an error.
+
+        So it is one aggregate over the rows that correlate, which Catalyst can decorrelate: no row where there are none, and an
+        error where the least and the greatest of the keys differ.
+        """
+        if s.having is not None:
+            raise BindError("HAVING in a correlated scalar query with GROUP BY")
+        keys = [self.expr(g, base, env) for g in group]
+        names = [self.fresh("g") for _ in keys]
+        both = F.struct(*(b.col.alias(f"k{i}") for i, b in enumerate(keys)))
+        low, high, n = self.fresh("g"), self.fresh("g"), self.fresh("g")
+        ready = {self.canonical(g, base.cols): Bound(F.col(x), b.kind) for g, x, b in zip(group, names, keys, strict=True)}
+        aggs = [F.min(b.col).alias(x) for b, x in zip(keys, names, strict=True)] + [F.min(both).alias(low), F.max(both).alias(high), F.count(F.lit(1)).alias(n)]
+        for call in calls:
+            can = self.canonical(call, base.cols)
+            if can not in ready:
+                b, x = self.aggregate_column(call, base, env), self.fresh("a")
+                aggs.append(b.col.alias(x))
+                ready[can] = Bound(F.col(x), b.kind)
+        one = F.when(F.col(low) == F.col(high), F.lit(True)).otherwise(F.raise_error(F.lit("a scalar query made more than one row")).cast("boolean"))
+        return df.select(*aggs).where((F.col(n) > 0) & one), Context(base.cols, ready, True, base.parent)
+
     def aggregate_column(self, call: t.Call, ctx: Context, env: dict) -> Bound:
         name = self.lib.canonical(call.name)
         where = self.predicate(call.where, ctx, env) if call.where is not None else None
@@ -466,6 +491,11 @@ class Binder:
         order = [self.s.order(c, k.descending, k.nulls) for c, k in keys]
         spec = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
         args = [self.expr(a, ctx, env) for a in w.args]
+        if name in AGGREGATES and not partition and not order and w.over.frame is None:
+            # over the whole table: a row of its own, aggregated in parts, instead of all rows in one task
+            plain, out = self.aggregate_window(name, w, args, ctx, env), self.fresh("w")
+            one = df.select(plain.col.alias(out))
+            return df.crossJoin(F.broadcast(one)), Bound(self.s.total(F.col(out)) if name == "SUM" else F.col(out), plain.kind)
         if name in ("RANK", "DENSE_RANK", "PERCENT_RANK", "CUME_DIST") and not order:
             b = Bound(F.lit(1).cast("bigint"), "INT") if "RANK" in name and name != "PERCENT_RANK" else Bound(F.lit(0.0 if name == "PERCENT_RANK" else 1.0), "FLOAT")
         elif name in ("ROW_NUMBER", "RANK", "DENSE_RANK", "NTILE", "PERCENT_RANK", "CUME_DIST"):
@@ -477,16 +507,30 @@ class Binder:
             if not order:
                 raise BindError(f"{name} needs ORDER BY")
             n = self.constant(args[1]) if len(args) > 1 else 1
-            if w.ignore_nulls:
-                s = spec.orderBy(*order)
+            if n < 0:
+                raise BindError(f"{name} needs a distance of 0 or more")
+            s, x, kind = spec.orderBy(*order), args[0].col, args[0].kind
+            if len(args) > 2:
+                kind = common_kind([args[0].kind, args[2].kind])
+                x = to_kind(args[0], kind)
+            if w.ignore_nulls and n:
                 side = s.rowsBetween(Window.unboundedPreceding, -1) if name == "LAG" else s.rowsBetween(1, Window.unboundedFollowing)
-                if n != 1:
-                    raise BindError(f"{name} IGNORE NULLS with a distance other than 1")
-                col = (F.last if name == "LAG" else F.first)(args[0].col, ignorenulls=True).over(side)
+                if n == 1:
+                    col = (F.last if name == "LAG" else F.first)(x, ignorenulls=True).over(side)
+                else:  # the n-th value that isn't NULL, counted from the row outwards
+                    place = self.fresh("p")
+                    df = df.withColumn(place, F.row_number().over(s))
+                    outwards = spec.orderBy(F.col(place).desc() if name == "LAG" else F.col(place)).rowsBetween(1, Window.unboundedFollowing)
+                    col = F.nth_value(x, n, ignoreNulls=True).over(outwards)
             else:
-                col = (F.lag if name == "LAG" else F.lead)(args[0].col, n).over(spec.orderBy(*order))
-            if len(args) > 2:
-                col = F.coalesce(col, args[2].col)
+                col = (F.lag if name == "LAG" else F.lead)(x, n).over(s)
+            if len(args) > 2:  # only where there is no such row: a NULL that a row holds stays NULL
+                if w.ignore_nulls and n:
+                    there = F.count(x).over(side) >= n
+                else:
+                    there = (F.row_number().over(s) > n) if name == "LAG" else (F.row_number().over(s) + n <= F.count(F.lit(1)).over(spec))
+                col = F.when(there, col).otherwise(to_kind(args[2], kind))
+            args[0] = Bound(x, kind)
             b = Bound(col, args[0].kind)
         else:
             df, spec = self.framed(df, spec, w.over.frame, keys, order)
@@ -569,6 +613,7 @@ class Binder:
         while at is not None:
             c = self.find(e, at.cols)
             if c is not None:
+                ctx.correlated = ctx.correlated or depth > 0
                 if at.grouped:
                     hit = at.ready.get(t.Col(t.Name(c.internal), _RESOLVED))
                     if hit is None:
@@ -636,7 +681,11 @@ class Binder:
         return Bound(~c if e.negated else c, "BOOL")
 
     def _scalar(self, e: t.Scalar, ctx, env) -> Bound:
-        r = self.query(e.query, env, ctx)
+        outside, self.scalar_body = self.scalar_body, e.query.body
+        try:
+            r = self.query(e.query, env, ctx)
+        finally:
+            self.scalar_body = outside
         if len(r.cols) != 1:
             raise BindError("a scalar query has one column")
         return Bound(r.df.scalar(), r.cols[0].kind)

@@ -18,7 +18,7 @@ from .config import REFERENCE, Dialect, load_dialect
 from .plans.store import shared_folder, store
 from .session import Engine
 from .sources.catalog import Catalog
-from .sources.tables import event_table, json_tables, literal_table, sqlite_tables
+from .sources.tables import EVENT_TYPES, event_table, json_tables, literal_table, sqlite_tables
 from .sql.passes import limit_with_ties
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -228,7 +228,7 @@ FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_lin
 
 def _parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1, S2: a table through the Parquet sink and back, in the shared folder."""
-    return store(Catalog.parquet(spark, sf_dir, TABLES).get("supplier"))
+    return store(Catalog.parquet(spark, sf_dir, TABLES).get("supplier"))[0]
 
 
 def _literal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +266,39 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, REFERENCE, {"github_events": event_table(spark, 5000)}).sql("SELECT event_type, COUNT(*) AS n, SUM(additions) AS a, MIN(created_at) AS first FROM github_events GROUP BY event_type")
 
 
+def _events_sql() -> str:
+    draw = lambda salt, n: f"CAST('0x' || substr(md5('219:{salt}:' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % {n}"
+    upto, kinds = 0, []
+    for name, weight in EVENT_TYPES.items():
+        upto += weight
+        kinds.append(f"WHEN pick < {upto} THEN '{name}'")
+    return f"""
+SELECT event_type, COUNT(*) AS n, CAST(SUM(CASE WHEN event_type IN ('PushEvent', 'PullRequestEvent') THEN additions ELSE 0 END) AS BIGINT) AS a, MIN(created_at) AS first
+FROM (SELECT CASE {" ".join(kinds)} END AS event_type, additions, strftime(TIMESTAMP '2015-01-01' + to_days(CAST(d AS INTEGER)) + to_seconds(s), '%Y-%m-%d %H:%M:%S') AS created_at
+      FROM (SELECT {draw("type", upto)} AS pick, {draw("additions", 400)} AS additions, {draw("day", 11 * 365)} AS d, {draw("second", 86400)} AS s
+            FROM (SELECT range AS id FROM range(5000))))
+GROUP BY event_type"""
+
+
 CASES |= {
+    "w_lag_default": C("SELECT o_orderkey, LAG(NULLIF(o_custkey % 3, 0), 1, 99) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS b, LAG(o_custkey, 2, -1) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS b2 FROM orders"),
+    "w_lead_default": C("SELECT o_orderkey, LEAD(NULLIF(o_custkey % 3, 0), 1, 99) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS b, LEAD(o_custkey, 3, o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS b3 FROM orders"),
+    "w_lag_ignore_nulls_2": C(
+        "SELECT o_orderkey, LAG(NULLIF(o_custkey % 3, 0), 2) IGNORE NULLS OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS a, LEAD(NULLIF(o_custkey % 3, 0), 2, 99) IGNORE NULLS OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS b FROM orders",
+        "SELECT o_orderkey, LAG(NULLIF(o_custkey % 3, 0), 2 IGNORE NULLS) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS a, LEAD(NULLIF(o_custkey % 3, 0), 2, 99 IGNORE NULLS) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS b FROM orders",
+    ),
+    "corr_scalar_group": C("SELECT c_custkey, (SELECT SUM(o_shippriority_free) FROM (SELECT o_custkey, 1 AS o_shippriority_free FROM orders) AS o WHERE o.o_custkey = c.c_custkey GROUP BY o.o_custkey) AS n FROM customer c", "SELECT c_custkey, (SELECT CAST(SUM(1) AS BIGINT) FROM orders o WHERE o.o_custkey = c.c_custkey GROUP BY o.o_custkey) AS n FROM customer c"),
+    "recursive_beside_cte": C("WITH RECURSIVE base AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1), r AS (SELECT k, 1 AS d FROM base UNION ALL SELECT k + 100, d + 1 FROM r WHERE d < 4), t AS (SELECT d, COUNT(*) AS n FROM r GROUP BY d) SELECT d, n FROM t", "WITH RECURSIVE base AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1), r AS (SELECT k, CAST(1 AS BIGINT) AS d FROM base UNION ALL SELECT k + 100, d + 1 FROM r WHERE d < 4), t AS (SELECT d, COUNT(*) AS n FROM r GROUP BY d) SELECT d, n FROM t"),
+    "f_date_diff_units": C(
+        "SELECT " + ", ".join(f"DATE_DIFF('{u}', TIMESTAMP '2024-01-31 22:30:15', ts) AS {u}s" for u in ("second", "minute", "hour", "day", "week", "month", "quarter", "year")) + ", event_id FROM events",
+        "SELECT "
+        + ", ".join(f"CAST(trunc((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-31 22:30:15')) / {n}000000.0) AS BIGINT) AS {u}s" for u, n in (("second", 1), ("minute", 60), ("hour", 3600)))
+        + ", date_diff('day', DATE '2024-01-31', CAST(ts AS DATE)) AS days, CAST(trunc(date_diff('day', DATE '2024-01-31', CAST(ts AS DATE)) / 7.0) AS BIGINT) AS weeks, date_diff('month', DATE '2024-01-31', CAST(ts AS DATE)) AS months, CAST(trunc(date_diff('month', DATE '2024-01-31', CAST(ts AS DATE)) / 3.0) AS BIGINT) AS quarters, date_diff('year', DATE '2024-01-31', CAST(ts AS DATE)) AS years, event_id FROM events",
+    ),
+    "f_date_trunc_time": C("SELECT event_id, DATE_TRUNC('hour', ts) AS h, DATE_TRUNC('minute', ts) AS m, DATE_TRUNC('second', ts) AS s, DATE_TRUNC('day', ts) AS d, DATE_TRUNC('week', ts) AS w FROM events", "SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS h, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS m, CAST(date_trunc('second', ts) AS TIMESTAMP) AS s, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, CAST(date_trunc('week', ts) AS TIMESTAMP) AS w FROM events"),
+    "join_anti_theta": C("SELECT n_nationkey FROM nation LEFT ANTI JOIN region ON n_regionkey > r_regionkey + 1", "SELECT n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM region WHERE n_regionkey > r_regionkey + 1)"),
+    "x_effect_neq": C("SELECT n_nationkey FROM nation WHERE n_name <> 'x'", "SELECT n_nationkey FROM nation WHERE lower(n_name) <> 'x'", engine={"effects": {"text_neq": lambda a, b, s: F.lower(a) != F.lower(b)}}),
+    "w_global_aggregates": C("SELECT n_nationkey, COUNT(*) OVER () AS n, ROUND(AVG(n_regionkey) OVER (), 6) AS a, MIN(n_name) OVER () AS lo FROM nation"),
     "top_n": C("SELECT TOP 4 c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 4", dialect=REFERENCE.with_surface(limit_syntax="top_n")),
     "try_cast": C("SELECT TRY_CAST(p_name AS INT) AS bad, TRY_CAST(p_size AS TEXT) AS t, p_partkey FROM part", "SELECT TRY_CAST(p_name AS BIGINT) AS bad, CAST(p_size AS VARCHAR) AS t, p_partkey FROM part"),
     "x_pass_ties": C("SELECT p_partkey FROM part ORDER BY p_size LIMIT 2", "SELECT p_partkey FROM (SELECT p_partkey, RANK() OVER (ORDER BY p_size) AS r FROM part) WHERE r <= 2", engine={"passes": [limit_with_ties]}),
@@ -282,5 +314,5 @@ SOURCES = {
     "source_literal": (_literal, "SELECT n_name, grade, w FROM nation JOIN (VALUES (0, 'low', CAST(NULL AS DOUBLE)), (1, 'mid', 1.5), (2, 'high', 2.0)) AS g(k, grade, w) ON n_regionkey = k"),
     "source_sqlite": (_sqlite, "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, COUNT(*) AS n FROM nation GROUP BY 1"),
     "source_json_tables": (_json, "SELECT CAST(r_regionkey AS DOUBLE) AS key, r_name AS name FROM region"),
-    "source_event_generator": (_events, None),
+    "source_event_generator": (_events, _events_sql()),
 }

@@ -8,6 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. Its schema is read once an application and path, since that takes a job; its files are listed anew each time.
+
+    A table that changes its columns under the same path needs another application, or forget().
+    """
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
+def forget() -> None:
+    """Schemas are read anew from now on."""
+    _SCHEMAS.clear()
+
+
 class Catalog:
     """A DataFrame, or a function that makes one when first asked for, by name. Names are looked up without regard to case."""
 
@@ -16,8 +37,8 @@ class Catalog:
 
     @staticmethod
     def parquet(spark: SparkSession, folder: str, names: Iterable[str]) -> Catalog:
-        """One Parquet file or folder a table: <folder>/<name>.parquet, read when first used."""
-        return Catalog({n: (lambda n=n: spark.read.parquet(f"{folder.rstrip('/')}/{n}.parquet")) for n in names})
+        """One Parquet file or folder a table: <folder>/<name>.parquet, opened when first used."""
+        return Catalog({n: (lambda n=n: opened(spark, f"{folder.rstrip('/')}/{n}.parquet")) for n in names})
 
     def put(self, name: str, table: DataFrame) -> None:
         self._tables[name.lower()] = table

@@ -109,25 +109,28 @@ def json_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
-#: Event types of the synthetic event table and their weights out of 100.
-EVENT_TYPES = {"PushEvent": 34, "WatchEvent": 18, "PullRequestEvent": 12, "IssuesEvent": 9, "IssueCommentEvent": 9, "CreateEvent": 5, "ForkEvent": 4, "DeleteEvent": 3, "ReleaseEvent": 2, "PullRequestReviewEvent": 2, "CommitCommentEvent": 1, "GollumEvent": 1}
+#: Event types of the synthetic event table and their weights.
+EVENT_TYPES = {
+    "WatchEvent": 30, "PushEvent": 40, "PullRequestEvent": 10, "IssueCommentEvent": 8, "IssuesEvent": 8, "CreateEvent": 6, "DeleteEvent": 2, "ForkEvent": 5,
+    "PullRequestReviewEvent": 3, "PullRequestReviewCommentEvent": 3, "ReleaseEvent": 2, "MemberEvent": 1, "GollumEvent": 1, "CommitCommentEvent": 1,
+}
 _TEXT = "file_time event_type actor_login repo_name created_at updated_at action commit_id body ref title labels state assignee author_association closed_at merged_at release_tag_name release_name review_state".split()
 _NUMBERS = "comment_id number locked comments merged commits additions deletions changed_files push_size".split()
 
 
 def event_table(spark: SparkSession, rows: int = 5000, seed: int = 219, actors: int = 20, repos: int = 20) -> DataFrame:
-    """Repository events, 30 columns, the same for a seed whatever the partitioning. Made by the executors, column by column.
+    """Repository events, 30 columns, the same for a seed whatever the partitioning and time zone. Made by the executors, column by column.
 
-    Times are ISO text and absent text is ''; body and title may be NULL.
+    A draw of n for a purpose is the first eight hexadecimal digits of md5('seed:purpose:id') modulo n. Times are ISO text and absent text is ''; body and title may be NULL.
     """
-    h = lambda salt, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(n))
+    h = lambda salt, n: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{salt}:"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint") % n
     base = spark.range(rows)
     pick, upto, kind = h("type", sum(EVENT_TYPES.values())), 0, None
     for name, weight in EVENT_TYPES.items():
         upto += weight
         kind = F.when(pick < upto, name) if kind is None else kind.when(pick < upto, name)
-    when = F.timestamp_seconds(F.lit(int(dt.datetime(2015, 1, 1, tzinfo=dt.UTC).timestamp())) + h("time", 11 * 365 * 86400))
-    df = base.select("id", kind.alias("event_type"), F.date_format(when, "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+    when = F.lit(dt.datetime(2015, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(days=h("day", 11 * 365).cast("int"), secs=h("second", 86400))
+    df = base.select("id", kind.alias("event_type"), F.substring(when.cast("string"), 1, 19).alias("created_at"))
     push, pull, issue = (F.col("event_type") == x for x in ("PushEvent", "PullRequestEvent", "IssuesEvent"))
     action = F.when(pull | issue, F.element_at(F.array(*map(F.lit, ("opened", "closed", "reopened"))), (h("action", 3) + 1).cast("int"))).when(F.col("event_type") == "WatchEvent", "started").otherwise("")
     made = {
