@@ -83,68 +83,48 @@ class BiGru:
         return new, zr, un, n
 
     def read(self, windows: np.ndarray) -> np.ndarray:
-        """Label probabilities [T, N, K] of byte windows [N, T]."""
-        T, N = windows.shape[1], windows.shape[0]
-        both = np.stack([windows.T, windows.T[::-1]])
-        h = np.zeros((2, N, self.hidden), np.float32)
-        out = np.zeros((T, N, len(self.langs)), np.float32)
+        """Label probabilities [T, K, N] of byte windows [N, T]. Units lie along rows, so that every step works on long runs, in buffers made once."""
+        T, N, H = windows.shape[1], windows.shape[0], self.hidden
+        of_byte = [np.ascontiguousarray(x.T) for x in self.X]
+        U, nb, V = (p.transpose(0, 2, 1) for p in (self.U, self.nb, self.V))
+        U = np.ascontiguousarray(U)
+        byte = windows.T.astype(np.intp)
+        x, g = np.empty((2, 3 * H, N), np.float32), np.empty((2, 3 * H, N), np.float32)
+        h, n, states = np.zeros((2, H, N), np.float32), np.empty((2, H, N), np.float32), np.empty((T, 2, H, N), np.float32)
+        gate, z, r = x[:, : 2 * H], x[:, :H], x[:, H : 2 * H]
         for t in range(T):
-            x = np.stack([self.X[0][both[0, t]], self.X[1][both[1, t]]])
-            h = self._step(x, h)[0]
-            y = np.matmul(h, self.V)
-            out[t] += y[0]
-            out[T - 1 - t] += y[1]
-        out += self.c
-        out -= out.max(axis=2, keepdims=True)
+            np.take(of_byte[0], byte[t], axis=1, out=x[0], mode="clip")
+            np.take(of_byte[1], byte[T - 1 - t], axis=1, out=x[1], mode="clip")
+            np.matmul(U, h, out=g)
+            gate += g[:, : 2 * H]
+            np.tanh(gate, out=gate)
+            gate *= 0.5
+            gate += 0.5
+            un = g[:, 2 * H :]
+            un += nb
+            un *= r
+            un += x[:, 2 * H :]
+            np.tanh(un, out=n)
+            new = states[t]
+            np.subtract(h, n, out=new)
+            new *= z
+            new += n
+            h = new
+        out = np.matmul(V[0], states[:, 0])
+        out += np.matmul(V[1], states[::-1, 1])
+        out += self.c[:, None]
+        out -= out.max(axis=1, keepdims=True)
         np.exp(out, out=out)
-        out /= out.sum(axis=2, keepdims=True)
+        out /= out.sum(axis=1, keepdims=True)
         return out
 
     def learn(self, windows: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 4) -> BiGru:
-        rng, H = np.random.RandomState(seed), self.hidden
+        rng = np.random.RandomState(seed)
         params = self.params()
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        T = windows.shape[1]
         for it in range(1, steps + 1):
             pick = rng.randint(0, len(windows), batch)
-            w, lab = windows[pick], y[pick]
-            both = np.stack([w.T, w.T[::-1]])  # [2, T, N]
-            h, kept = np.zeros((2, batch, H), np.float32), []
-            states = np.zeros((2, T, batch, H), np.float32)
-            for t in range(T):
-                x = np.stack([self.X[0][both[0, t]], self.X[1][both[1, t]]])
-                new, zr, un, n = self._step(x, h)
-                kept.append((h, zr, un, n))
-                h = states[:, t] = new
-            logit = states[0] @ self.V[0] + (states[1] @ self.V[1])[::-1] + self.c
-            logit -= logit.max(axis=2, keepdims=True)
-            p = np.exp(logit)
-            p /= p.sum(axis=2, keepdims=True)
-            p[:, np.arange(batch), lab] -= 1
-            real = (w.T != PAD)[:, :, None]
-            d = p * real / max(1, real.sum())
-            dboth = np.stack([d, d[::-1]])
-            gV = np.einsum("stnh,stnk->shk", states, dboth, optimize=True)
-            gX, gU, gnb, gc = np.zeros_like(self.X), np.zeros_like(self.U), np.zeros_like(self.nb), d.sum((0, 1))
-            dout = np.matmul(dboth, self.V.transpose(0, 2, 1)[:, None])
-            dh = np.zeros((2, batch, H), np.float32)
-            for t in range(T - 1, -1, -1):
-                h, zr, un, n = kept[t]
-                z, r = zr[:, :, :H], zr[:, :, H:]
-                dh = dh + dout[:, t]
-                dn = dh * (1 - z) * (1 - n * n)
-                da = np.empty((2, batch, 3 * H), np.float32)
-                da[:, :, :H] = dh * (h - n) * z * (1 - z) * 2
-                da[:, :, H : 2 * H] = dn * un * r * (1 - r) * 2
-                da[:, :, 2 * H :] = dn
-                dg = da.copy()
-                dg[:, :, 2 * H :] *= r
-                gU += np.matmul(h.transpose(0, 2, 1), dg)
-                gnb += dg[:, :, 2 * H :].sum(1, keepdims=True)
-                for s in (0, 1):
-                    np.add.at(gX[s], both[s, t], da[s])
-                dh = dh * z + np.matmul(dg, self.U.transpose(0, 2, 1))
-            grads = [gX, gU, gnb, gV, gc]
+            grads = self.gradients(windows[pick], y[pick])
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             rate = RATE * min(1.0, 2 * (1 - it / (steps + 1)))
             for prm, g, mi, vi in zip(params, grads, m, v, strict=True):
@@ -155,6 +135,47 @@ class BiGru:
             self._pads()
         return self
 
+    def gradients(self, w: np.ndarray, lab: np.ndarray) -> list[np.ndarray]:
+        """Of the mean loss over all bytes of windows w [N, T] with labels lab, by backpropagation through time; in the order of params()."""
+        H, T, batch = self.hidden, w.shape[1], len(w)
+        both = np.stack([w.T, w.T[::-1]])  # [2, T, N]
+        h, kept = np.zeros((2, batch, H), np.float32), []
+        states = np.zeros((2, T, batch, H), np.float32)
+        for t in range(T):
+            x = np.stack([self.X[0][both[0, t]], self.X[1][both[1, t]]])
+            new, zr, un, n = self._step(x, h)
+            kept.append((h, zr, un, n))
+            h = states[:, t] = new
+        logit = states[0] @ self.V[0] + (states[1] @ self.V[1])[::-1] + self.c
+        logit -= logit.max(axis=2, keepdims=True)
+        p = np.exp(logit)
+        p /= p.sum(axis=2, keepdims=True)
+        p[:, np.arange(batch), lab] -= 1
+        real = (w.T != PAD)[:, :, None]
+        d = p * real / max(1, real.sum())
+        dboth = np.stack([d, d[::-1]])
+        gV = np.einsum("stnh,stnk->shk", states, dboth, optimize=True)
+        gX, gU, gnb, gc = np.zeros_like(self.X), np.zeros_like(self.U), np.zeros_like(self.nb), d.sum((0, 1))
+        dout = np.matmul(dboth, self.V.transpose(0, 2, 1)[:, None])
+        dh = np.zeros((2, batch, H), np.float32)
+        for t in range(T - 1, -1, -1):
+            h, zr, un, n = kept[t]
+            z, r = zr[:, :, :H], zr[:, :, H:]
+            dh = dh + dout[:, t]
+            dn = dh * (1 - z) * (1 - n * n)
+            da = np.empty((2, batch, 3 * H), np.float32)
+            da[:, :, :H] = dh * (h - n) * z * (1 - z) * 2
+            da[:, :, H : 2 * H] = dn * un * r * (1 - r) * 2
+            da[:, :, 2 * H :] = dn
+            dg = da.copy()
+            dg[:, :, 2 * H :] *= r
+            gU += np.matmul(h.transpose(0, 2, 1), dg)
+            gnb += dg[:, :, 2 * H :].sum(1, keepdims=True)
+            for s in (0, 1):
+                np.add.at(gX[s], both[s, t], da[s])
+            dh = dh * z + np.matmul(dg, self.U.transpose(0, 2, 1))
+        return [gX, gU, gnb, gV, gc]
+
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """Mean label probabilities [D, K] over all bytes of each text; texts aren't empty."""
         order_of, total = [], np.zeros((len(texts), len(self.langs)))
@@ -171,8 +192,8 @@ class BiGru:
         for a in range(0, len(windows), SIDE_BY_SIDE):
             w = windows[a : a + SIDE_BY_SIDE]
             p = self.read(w)
-            p *= (w.T != PAD)[:, :, None]
-            pooled[a : a + SIDE_BY_SIDE] = p.sum(axis=0)
+            p *= (w.T != PAD)[:, None]
+            pooled[a : a + SIDE_BY_SIDE] = p.sum(axis=0).T
         np.add.at(total, owner, pooled)
         return total / np.asarray([len(b) for b in texts])[:, None]
 
