@@ -103,7 +103,7 @@ FROM cut
     "op4_warc_merkle_audit": f"""
 WITH {CRC_TABLE}, rec AS (
   SELECT page_id, html, coalesce(CAST(floor(page_id / 1024.0) AS BIGINT), -1) AS warc_file,
-         'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none') || '>' || e || 'WARC-Target-URI: ' ||
+         'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none') || '>' || e || 'WARC-Date: 2000-01-01T00:00:00Z' || e || 'WARC-Target-URI: ' ||
          coalesce(regexp_replace(url, '[\\r\\n]', '', 'g'), '') || e || 'Content-Type: text/html' || e || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || e || e || coalesce(html, '') || e || e AS r,
          {_crc("CAST(page_id AS VARCHAR)")} AS c
   FROM (SELECT *, chr(13) || chr(10) AS e FROM pages), crc_table

@@ -1,5 +1,6 @@
 """WARC fixity, registration and the pipeline."""
 
+import gzip
 import os
 import zlib
 
@@ -8,7 +9,7 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from babelframe.llm.common import Stored
-from babelframe.llm.warc import FixityTree, audit, damaged, fixity_report, read_warc, records, warc_files
+from babelframe.llm.warc import FixityTree, audit, damaged, fixity_report, parse_warc, read_warc, records, trees, warc_files
 
 from .data import corpus, odd_documents
 
@@ -22,11 +23,12 @@ def pages(spark, n=5000):
 
 def test_round_trip_and_offsets(spark):
     p = pages(spark, 300)
-    got = read_warc(warc_files(p)).collect()
+    got = read_warc(warc_files(p.union(spark.createDataFrame([(9, "u", "twice", None)] * 2, PAGES)))).collect()
+    p = p.union(spark.createDataFrame([(9, "u", "twice", None)] * 2, PAGES))
     want = sorted((r["page_id"] or 0, r["url"] or "", r["html"] or "") for r in p.collect())
     assert sorted((r["page_id"] or 0, r["url"], r["html"]) for r in got) == want
     at = {(r["offset"], r["length"]) for r in got}
-    assert {(r["offset"], r["length"]) for r in records(p).collect()} == at
+    assert {(r["offset"], r["length"]) for r in fixity_report(p, p).collect()} == at
 
 
 def test_audit_finds_exactly_the_damage(spark):
@@ -40,7 +42,7 @@ def test_audit_finds_exactly_the_damage(spark):
 def test_lost_record(spark):
     p = pages(spark)
     s = Stored(spark)
-    a, b = FixityTree(p, s), FixityTree(p.where("page_id <> 9000 OR page_id IS NULL"), s)
+    a, b = trees(p, p.where("page_id <> 9000 OR page_id IS NULL"), s)
     found = audit(a, b, s).collect()
     assert any(r["page_id"] == 9000 and r["in_a"] for r in found)
     files = {r["file"] for r in found}
@@ -48,6 +50,44 @@ def test_lost_record(spark):
     assert a.levels[-1].count() <= 2  # a root for each sign of the ids
 
 
+def test_hot_files(spark):
+    """Half the rows without a page_id, a quarter under one, many of them equal: places as by brute force, FANOUT children at most."""
+    rows = [(None, None, f"n{i % 1500}") for i in range(3000)] + [(7, "u", f"s{i % 700}") for i in range(1500)] + [(i * 2, "u", "x") for i in range(900)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = fixity_report(p, p.where("html <> 's3'")).collect()
+    assert len(got) == len(rows)
+    files = {}
+    for r in got:
+        files.setdefault(r["warc_file"], []).append(r)
+    for f, rs in files.items():
+        rs.sort(key=lambda r: r["position"])
+        assert [r["position"] for r in rs] == list(range(len(rs)))
+        assert [(r["page_id"] or -1, r["record_sha256"]) for r in rs] == sorted((r["page_id"] or -1, r["record_sha256"]) for r in rs) or f == 0
+        at = 0
+        for r in rs:
+            assert r["offset"] == at
+            at += r["length"]
+    assert all(r["intact"] for r in files[-1]) and not all(r["intact"] for r in files[0]) and len(files[-1]) == 3000
+    s = Stored(spark)
+    t = FixityTree(p, s)
+    assert t.file_levels == 3
+    for level in t.levels[:-1]:
+        assert level.groupBy("up_file", "up_idx").count().agg({"count": "max"}).first()[0] <= 16
+    assert records(p).count() == 1500 + 700 + 900
+    assert warc_files(p).where("file = -1").count() == 3
+
+
+def test_records_of_others():
+    one = b"WARC/1.1\r\nwarc-type: response\r\nWARC-RECORD-ID: <urn:uuid:1>\r\nContent-length: 5\r\n\r\nhello\r\n\r\n"
+    two = b"WARC/1.0\r\nWARC-Record-ID: <urn:page:-4>\r\nWARC-Target-URI: http://a\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    want = [(None, None, "hello", 0, len(one)), (-4, "http://a", "hi", len(one), len(two))]
+    assert list(parse_warc(one + two)) == want and list(parse_warc(gzip.compress(one) + gzip.compress(two))) == want
+    cut = one + two[:-8]
+    assert list(parse_warc(cut)) == [want[0], (None, None, None, len(one), len(two) - 8)]
+    assert list(parse_warc(one + b"\r\njunk")) == [want[0], (None, None, None, len(one) + 2, 4)]
+    assert list(parse_warc(b"WARC/1.0\r\nContent-Type: x\r\n\r\nbody")) == [(None, None, None, 0, 33)] and list(parse_warc(b"")) == []
+
+
 def test_empty_pages(spark):
     e = spark.createDataFrame([], PAGES)
     assert fixity_report(e, e).count() == 0
