@@ -169,11 +169,11 @@ def _solve(batches):
     yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "root": pa.array([root(n) for n in nodes], pa.int64())})
 
 
-def merge_components(spark: SparkSession, labels: DataFrame, edges: DataFrame, stored: Stored) -> DataFrame:
+def merge_components(spark: SparkSession, labels: DataFrame, edges: DataFrame, stored: Stored, small: int = SMALL_GRAPH) -> DataFrame:
     """Components (node, root) after more edges (a, b): only the roots that these connect are solved anew."""
     root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias("r" + x))
     between = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    moved = components(spark, between, stored).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = components(spark, between, stored, small).select(F.col("node").alias("old"), F.col("root").alias("new"))
     kept = labels.join(moved, labels["root"] == moved["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
     fresh = moved.select(F.col("old").alias("node"), F.col("new").alias("root")).join(labels, "node", "left_anti")
     return stored.put(kept.union(fresh))

@@ -9,8 +9,9 @@ least 0.8. A class is a connected component of links.
 process, the same for every text that holds the element. The axis is halved hierarchically, into
 (0, 1], (1, 2], (2, 4], (4, 8] and so on, each part with a process of its own whose rate is its size; within the part in
 which the element's count ends, a point's place decides whether it is under the count. Each point falls on
-one of SIZE positions; a position's signature value is its earliest point. Two texts agree at a position with
-exactly their weighted Jaccard similarity as probability. Points come in order of time and only up to a
+one of SIZE positions; a position's signature value is one byte of a hash of its earliest point. Two texts have the same
+earliest point at a position with exactly their weighted Jaccard similarity J as probability, and the same byte with
+J + (1 - J) / 256; the thresholds on agreement allow for that, and what they let through is verified. Points come in order of time and only up to a
 horizon that leaves few positions open, so long texts generate no more points than short ones; texts
 with an open position go on to twice the horizon.
 
@@ -23,8 +24,10 @@ block, and pairs from different classes that may be similar are verified too: in
 No bucket is gathered in a task, and pairs are emitted only where their signatures agree.
 
 Defined results: a null text is the empty one; equal texts are of one class, those without words too; a
-text without words is linked with no other text; the class is named by its smallest doc_id, whose row stays;
-of repeated rows one stays; doc_id identifies a text (rows without one are told apart by their texts); an
+text without words is linked with no other text; the class is named by its smallest doc_id, whose row stays; texts
+are told apart by their SHA-256, so different texts under one doc_id are of different classes unless they are similar. Where
+that leaves several classes with one smallest doc_id, one of them has its name, and the others, like classes
+without any doc_id, are named by a number of their own from 2**62 on; of repeated rows one stays; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, by_size, components, merge_components
+from .common import SMALL_GRAPH, Stored, by_size, components, merge_components
 
 SHINGLE, THRESHOLD = 5, 0.8
 SIZE, ROWS = 192, 6
@@ -290,14 +293,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, small_graph: int = SMALL_GRAPH) -> DataFrame:
     """doc_id, class_id, class_size, kept, text_sha256 for every row of docs."""
     spark = docs.sparkSession
     stored = Stored(spark)
     signed = stored.put(_signed(docs))
     groups = signed.groupBy("digest", "sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("one"), F.count(F.lit(1)).alias("copies"))
-    own = F.coalesce(F.col("one.doc_id"), F.shiftrightunsigned(F.xxhash64("digest"), 2) + F.lit(1 << 62))
-    groups = stored.put(groups.select("digest", "sig", own.alias("node"), F.col("one.doc_id").alias("first_id"), F.col("one.rid").alias("rid"), "copies"))
+    # a text's node is the number of its first row, which nothing else has
+    groups = stored.put(groups.select("digest", "sig", F.col("one.rid").alias("node"), F.col("one.doc_id").alias("first_id"), "copies"))
 
     bands = F.posexplode(F.expr(f"transform(sequence(0, {SIZE // ROWS - 1}), i -> xxhash64(i, substring(sig, i * {ROWS} + 1, {ROWS})))")).alias("band", "key")
     second = F.pmod("key", F.lit(1021)).alias("key2")  # joins on two keys are exchanged on both sides, and so can be split
@@ -313,7 +316,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # the smallest node of a bucket against the others
     pairs = stored.put(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     edges = stored.put(_verify(_agree(pairs, groups), texts, threshold))
-    labels = components(spark, edges, stored)
+    labels = components(spark, edges, stored, small_graph)
 
     # what is left of buckets that still hold nodes of several classes
     left = members.where("node <> least").select("key", "key2", "band", "node").join(labels, "node", "left").select("key", "key2", "band", "node", F.coalesce("root", "node").alias("root"))
@@ -333,7 +336,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             chosen = stored.put(chosen)
             more = stored.put(_verify(chosen, texts, threshold))
             if not more.isEmpty():
-                labels = merge_components(spark, labels, more, stored)
+                labels = merge_components(spark, labels, more, stored, small_graph)
             if wave == WAVES - 1:
                 break
             root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias("r" + x))  # noqa: B023, E731
@@ -343,10 +346,19 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if late.isEmpty():
                 break
 
-    classes = groups.join(labels, "node", "left").select("digest", "node", F.col("rid").alias("first_rid"), "copies", F.coalesce("root", "node").alias("class_id"))
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size")).withColumn("c2", F.pmod("class_id", F.lit(1021)))
-    classes = classes.withColumn("c2", F.pmod("class_id", F.lit(1021))).join(sizes, ["class_id", "c2"]).withColumn("d2", F.substring("digest", 1, 2))
-    classes = stored.put(classes.select("digest", "d2", "class_id", "class_size", "node", "first_rid"))
+    classes = groups.join(labels, "node", "left").select("digest", "node", "first_id", "copies", F.coalesce("root", "node").alias("top")).withColumn("c2", F.pmod("top", F.lit(1021)))
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "digest", "node")).alias("one")
+    named = classes.groupBy("top", "c2").agg(F.sum("copies").alias("class_size"), first)
+    nameless = F.shiftrightunsigned(F.xxhash64("one.digest"), 2) + F.lit(1 << 62)
+    if groups.where("first_id IS NOT NULL").groupBy("first_id").count().where("count > 1").isEmpty():
+        named = named.withColumn("class_id", F.coalesce("one.first_id", nameless))
+    else:
+        owner = named.select(F.col("one.first_id").alias("first_id"), F.col("one.digest").alias("d")).where("first_id IS NOT NULL").groupBy("first_id").agg(F.min("d").alias("owner"))
+        named = named.join(owner, named["one.first_id"] == owner["first_id"], "left")
+        named = named.withColumn("class_id", F.when(F.col("one.digest") == F.col("owner"), F.col("one.first_id")).otherwise(nameless))
+    named = named.select("top", "c2", "class_id", "class_size", F.col("one.node").alias("stays"))
+    classes = classes.join(named, ["top", "c2"]).withColumn("d2", F.substring("digest", 1, 2))
+    classes = stored.put(classes.select("digest", "d2", "class_id", "class_size", "stays"))
     stored.keep_only(signed, classes)
     rows = signed.select("doc_id", "rid", "digest", F.substring("digest", 1, 2).alias("d2")).join(classes, ["digest", "d2"])
-    return rows.select("doc_id", "class_id", "class_size", ((F.col("node") == F.col("class_id")) & (F.col("rid") == F.col("first_rid"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.select("doc_id", "class_id", "class_size", (F.col("rid") == F.col("stays")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

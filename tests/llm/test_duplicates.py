@@ -59,6 +59,17 @@ def test_near_dedup_against_brute_force(spark):
     assert all(x["class_size"] == sizes[x["class_id"]] and x["kept"] == (x["doc_id"] == x["class_id"]) for x in got)
 
 
+def test_near_dedup_repeated_ids(spark):
+    """Different texts under one doc_id are nodes of their own; each class keeps one row and has a name of its own."""
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven"), (2, "one two three four five six seven"), (None, "x y z x y z w"), (1, "one two three four five six seven")]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), small_graph=0).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x["class_id"], []).append(x)
+    assert sorted(len(g) for g in by.values()) == [1, 1, 3] and all(sum(x["kept"] for x in g) == 1 and {x["class_size"] for x in g} == {len(g)} for g in by.values())
+    assert all(x["doc_id"] == 1 for g in by.values() if len(g) == 3 for x in g if x["kept"])
+
+
 def test_near_dedup_odd_rows(spark):
     got = near_dedup(odd_documents(spark)).collect()
     assert len(got) == 16
