@@ -9,9 +9,9 @@ least padding, backtracking yields how many of each length it takes, and the pat
 often as the counts allow. Each pattern uses up a length, so there are a few thousand patterns at most.
 
 Pieces then learn their place from their rank among pieces of equal length. Ranks come from the counts
-of cells (length, hash) plus the place within a cell. A length has as many cells as its pieces need at
-CELL_ROWS to a cell, so neither full windows, the most frequent length, nor a length that a third of all
-documents share puts more than about that many rows into one sort, however large the corpus.
+of cells (length, hash) plus the place within a cell. A length with n pieces has cells of FEW pieces, up to 4096 of
+them, and beyond that as many as it takes at CELL_ROWS to a cell, so neither full windows, the most frequent length, nor
+a length that a third of all documents share puts more than that many rows into one sort.
 
 Padding: a sequence is padded to the capacity, except where its ids number a power of two.
 
@@ -37,7 +37,7 @@ from .common import Stored, by_size, once, ship_file, vocabulary
 
 CAPACITY = 2048
 SEPARATOR = 1
-CELL_ROWS = 20_000
+FEW, CELL_ROWS = 128, 20_000
 MEMO_WORDS = 900_000
 
 #: Beyond these, lower-casing by Python and by the tokenizer may differ.
@@ -263,7 +263,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cel
     cut = stored.put(pieces(docs, path or vocabulary("word_bpe_49k.json"), capacity, with_ids))
     h = F.xxhash64("doc_id", "start", "ids_crc32")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    cells = F.array(*(F.lit(-(-counts.get(k, 1) // cell_rows)) for k in range(1, capacity + 1)))
+    up = lambda n, d: -(-n // d)
+    cells = F.array(*(F.lit(max(min(up(n, FEW), 4096), up(n, cell_rows))) for n in (counts.get(k, 1) for k in range(1, capacity + 1))))
     cells = spark.range(1).select(F.posexplode(cells).alias("k", "cells")).select((F.col("k") + 1).cast("long").alias("length"), "cells")
     keyed = cut.withColumn("h", h).join(F.broadcast(cells), "length").withColumn("cell", F.pmod("h", "cells")).drop("cells")
     per = keyed.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n"))
