@@ -70,11 +70,11 @@ OPERATORS = {"eq": ["="], "neq": ["<>", "!="], "lt": ["<"], "lte": ["<="], "gt":
 
 
 #: Settings by which a dialect describes itself, with the values that there are. Whatever they say, joins are written FROM a JOIN b
-#: ON or USING, conditions CASE WHEN, and the order of rows after SELECT: no dialect has another form. Other values are refused at load.
+#: ON or USING and conditions CASE WHEN: no dialect has another form. Of the order's places only before_select is read. Other values are refused at load.
 LABELS = {
     "join_syntax": {"ansi", "keyword_filter", "pipelined"},
     "case_syntax": {"case_when", "pipeline"},
-    "order_by_position": {"after_select", "inside_from_brace"},
+    "order_by_position": {"after_select", "before_select", "inside_from_brace"},
 }
 
 
