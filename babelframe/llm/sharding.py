@@ -14,7 +14,7 @@ proportion of the whole mixture.
 
 Neither ranking gathers a source or the table in one task. Ranks are offsets of cells plus the
 place within a cell: (source, leading digits of the hash) first, then equal intervals of fractional
-rank. The number of cells follows the number of rows, at about CELL_ROWS to a cell, so a cell holds an even share of any
+rank. The number of cells follows the number of rows: FEW to a cell, up to 4096 cells, and CELL_ROWS to a cell beyond. So a cell holds an even share of any
 source, a hot one included, whatever the size of the table. Cell sizes of the second ranking
 follow from the sources' row counts alone, so rows are shuffled without their texts.
 
@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SEED = "shard-1"
-CELL_ROWS = 50_000
+FEW, CELL_ROWS = 64, 50_000
 COPIES = 10_000  # repeats of a row are written out in runs of so many
 
 
@@ -44,7 +44,8 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = SEED, cells: int |
     cells: intervals of fractional rank; digits: hexadecimal digits of the hash that part a source. Both follow from the number of rows by default.
     """
     if cells is None or digits is None:
-        need = max(16, -(-docs.count() // CELL_ROWS))
+        n = docs.count()
+        need = max(16, min(-(-n // FEW), 4096), -(-n // CELL_ROWS))
         cells, digits = cells or 4 * need, digits or math.ceil(math.log(need, 16))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
