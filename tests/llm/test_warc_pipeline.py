@@ -5,13 +5,14 @@ import os
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from babelframe.llm.common import Stored
 from babelframe.llm.warc import FixityTree, audit, damaged, fixity_report, parse_warc, read_warc, records, trees, warc_files
 
-from .data import corpus, odd_documents
+from .data import corpus, empty_documents, odd_documents
 
 PAGES = "page_id long, url string, html string, file string"
 
@@ -123,3 +124,20 @@ def test_filters_keep_what_is_clean(spark, tmp_path):
     assert {r["doc_id"] for r in out.collect()} == {i for i, _ in rows}
     near = corpus_pipeline.near(spark, odd_documents(spark), str(tmp_path))
     assert near.columns == odd_documents(spark).columns
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeats and clashing names, and no rows at all, through every stage; only whole input rows come out."""
+    spark.createDataFrame([(1, 0, 1), (5, 0, 0), (10, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for make in (odd_documents, empty_documents):
+        docs = make(spark).withColumn("toxic_predicted", F.lit("mine")).withColumn("lang_pred", F.lit(7))
+        n, s = docs.count(), Stored(spark)
+        for name, stage in corpus_pipeline.STAGES:
+            out = s.put(stage(spark, docs, str(tmp_path)))
+            if name == "packing":
+                assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}
+                continue
+            assert out.columns == docs.columns and out.exceptAll(docs).count() == 0
+            assert (n == 0) == (out.count() == 0)
+            if name in ("exact_dedup", "near_dedup"):
+                assert out.select(F.coalesce("text", F.lit(""))).distinct().count() == out.count()
