@@ -305,6 +305,16 @@ CASES |= {
     "x_operator": C("SELECT n_nationkey, DOUBLED(n_regionkey) AS d FROM nation", "SELECT n_nationkey, n_regionkey * 2 AS d FROM nation", engine={"operators": {"DOUBLED": lambda a, s: a[0] * 2}}),
     "x_effect_like": C("SELECT n_nationkey FROM nation WHERE n_name LIKE 'N'", "SELECT n_nationkey FROM nation WHERE starts_with(n_name, 'N')", engine={"effects": {"text_in_pattern": lambda x, p, s, cs: F.startswith(x, p)}}),
     "w_ntile": C("SELECT o_orderkey, NTILE(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS q FROM orders"),
+    "a_group_concat": C("SELECT o_orderstatus, LENGTH(GROUP_CONCAT(o_orderpriority)) AS n, LENGTH(GROUP_CONCAT(DISTINCT o_orderpriority, '; ')) AS d, LENGTH(STRING_AGG(o_orderpriority, '') FILTER (WHERE o_custkey % 2 = 0)) AS f FROM orders GROUP BY o_orderstatus"),
+    "f_choice_more": C(
+        "SELECT n_nationkey, NVL2(NULLIF(n_regionkey, 1), 'has', 'none') AS v, DECODE(n_regionkey, 0, 'zero', 2, 'two', 'other') AS d, DECODE(NULLIF(n_regionkey, 1), NULL, 'null', 3, 'three') AS e FROM nation",
+        "SELECT n_nationkey, CASE WHEN n_regionkey <> 1 THEN 'has' ELSE 'none' END AS v, CASE n_regionkey WHEN 0 THEN 'zero' WHEN 2 THEN 'two' ELSE 'other' END AS d, CASE WHEN n_regionkey = 1 THEN 'null' WHEN n_regionkey = 3 THEN 'three' END AS e FROM nation",
+    ),
+    "f_text_more": C(
+        "SELECT p_partkey, INSTR(p_name, 'e') AS i, TO_DATE('1996-02-29') AS d, TO_DATE(p_name) AS bad, TYPEOF(p_size) AS k, TYPEOF(p_name) AS t FROM part",
+        "SELECT p_partkey, INSTR(p_name, 'e') AS i, DATE '1996-02-29' AS d, CAST(NULL AS DATE) AS bad, 'int' AS k, 'text' AS t FROM part",
+    ),
+    "div_error": C("SELECT s_suppkey, s_acctbal / (s_nationkey + 1) AS q FROM supplier", semantics={"division_by_zero": "error"}),
     "w_no_order": C("SELECT n_nationkey, SUM(n_nationkey) OVER () AS s, MAX(n_name) OVER (PARTITION BY n_regionkey) AS m FROM nation", "SELECT n_nationkey, CAST(SUM(n_nationkey) OVER () AS BIGINT) AS s, MAX(n_name) OVER (PARTITION BY n_regionkey) AS m FROM nation"),
 }
 
