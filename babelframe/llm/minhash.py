@@ -20,7 +20,7 @@ with probability under 1e-4. Copies of a text are one node. In each bucket of se
 paired with the others; pairs whose signatures agree too little to be similar go, the others are verified on
 the words themselves. Buckets whose nodes are by then in one class are done, since classes are what
 is asked for. In the others the remaining nodes get signatures of LONG positions, which are compared block by
-block, and pairs from different classes that may be similar are verified too: in the end every pair in a bucket was compared or is in one class.
+block, and pairs from different classes that may be similar by the words carried along are verified too: in the end every pair in a bucket was compared or is in one class.
 No bucket is gathered in a task, and pairs are emitted only where their signatures agree.
 
 Defined results: a null text is the empty one; equal texts are of one class, those without words too; a
@@ -48,7 +48,12 @@ LONG = 768
 #: Signature agreement that a pair of similarity 0.8 falls short of with probability under 1e-4, as with the bands.
 LEAST_AGREEMENT = 0.68
 LEAST_LONG_AGREEMENT = 0.745
-BLOCK = 256
+#: Nodes of a block, up to PARTS blocks a bucket; a larger bucket has larger blocks, up to LARGE nodes.
+BLOCK, PARTS, LARGE = 256, 4, 2048
+#: Texts of at most so many runs of words carry them into the blocks, as 32 bits each.
+CARRIED = 8192
+#: What collisions of 32 bits can move a similarity by is far below.
+MARGIN = 0.01
 WAVES = 2
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -115,6 +120,28 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return low / (int(a[1].sum()) + int(b[1].sum()) - low)
 
 
+def carried(texts: list[str]) -> list[bytes | None]:
+    """Each text's multiset as sorted 32-bit numbers, a repeated element's occurrences told apart; None for long texts."""
+    out: list[bytes | None] = []
+    for element, count in multisets(texts):
+        if int(count.sum()) > CARRIED:
+            out.append(None)
+            continue
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        each = mix(np.repeat(element, count) + nth.astype(np.uint64) * _P)
+        out.append(np.unique((each >> _U(32)).astype(np.uint32)).tobytes())
+    return out
+
+
+def similarities(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Of one multiset with others, as carried() has them."""
+    n = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    same = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    low = np.add.reduceat(same.astype(np.int64), np.cumsum(n) - n)
+    return low / (len(one) + n - low)
+
+
 def signatures(texts: list[str], size: int = SIZE) -> np.ndarray:
     """[texts, size] bytes; rows of texts without words are zeros."""
     owner, run = shingles(texts)
@@ -207,35 +234,38 @@ def _agree(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _long_signatures(texts: DataFrame) -> DataFrame:
-    """(node, sig, short) of every (node, text): LONG positions, and the usual ones."""
+    """(node, sig, short, words) of every (node, text): LONG positions, the usual ones, and carried()."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in by_size(b, "text"):
-                made = (signatures(part.column("text").to_pylist(), n) for n in (LONG, SIZE))
+                own = part.column("text").to_pylist()
+                made = (signatures(own, n) for n in (LONG, SIZE))
                 sig, short = (pa.array([x.tobytes() for x in m], pa.binary()) for m in made)
-                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "sig": sig, "short": short})
+                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "sig": sig, "short": short, "words": pa.array(carried(own), pa.binary())})
 
-    return texts.select("node", "text").mapInArrow(sign, "node long, sig binary, short binary")
+    return texts.select("node", "text").mapInArrow(sign, "node long, sig binary, short binary, words binary")
 
 
-def _within(members: DataFrame, signed: DataFrame) -> DataFrame:
+def _within(members: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, agreement) of nodes of one bucket (key) and different classes (root) whose long signatures agree often enough.
 
     A bucket of more than BLOCK nodes is dealt into blocks, and each pair of blocks is compared in a run of rows of its
-    own, so no run exceeds two blocks. Only what may be similar is emitted, and by one bucket: that of the first band that
-    the two share. Where that bucket isn't open, or one of them was its smallest node, they were met before.
+    own, so no run exceeds two blocks. Of pairs whose signatures agree, those whose words are carried along go unless these
+    are similar up to MARGIN, so that texts near the threshold aren't fetched for each pair. Only what may be similar is
+    emitted, and by one bucket: that of the first band that the two share. Where that bucket isn't open, or one of them was its smallest node, they were met before.
     """
-    blocks = members.withColumn("parts", F.expr(f"CAST((n + {BLOCK} - 1) div {BLOCK} AS INT)"))
+    blocks = members.withColumn("parts", F.expr(f"CAST(greatest(least((n + {BLOCK} - 1) div {BLOCK}, {PARTS}), (n + {LARGE} - 1) div {LARGE}) AS INT)"))
     blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
-    blocks = blocks.join(signed, "node").select("key", "band", "node", "root", "sig", "short", "mine", other)
-    blocks = blocks.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "node", "root", "sig", "short")
+    blocks = blocks.join(signed, "node").select("key", "band", "node", "root", "sig", "short", "words", "mine", other)
+    blocks = blocks.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "node", "root", "sig", "short", "words")
     ordered = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(rows: list) -> list[tuple[np.ndarray, ...]]:
-            i, j, mine, band, node, root, sig, short = (np.concatenate(c) for c in zip(*rows, strict=True))
+            i, j, mine, band, node, root, sig, short, words = (np.concatenate(c) for c in zip(*rows, strict=True))
+            words = [w and np.frombuffer(w, np.uint32) for w in words]
             found = []
             one = np.flatnonzero(mine == i[0])
             two = one if i[0] == j[0] else np.flatnonzero(mine == j[0])
@@ -247,6 +277,9 @@ def _within(members: DataFrame, signed: DataFrame) -> DataFrame:
                     hit = same >= LEAST_LONG_AGREEMENT
                     shared = (short[rest[hit]] == short[x]).reshape(-1, SIZE // ROWS, ROWS).all(axis=2)
                     hit[hit] = shared.argmax(axis=1) == band[0]
+                    at = [k for k in np.flatnonzero(hit) if words[rest[k]] is not None] if words[x] is not None else []
+                    if at:
+                        hit[at] = similarities(words[x], [words[rest[k]] for k in at]) >= threshold - MARGIN
                     found.append((np.minimum(node[x], node[rest[hit]]), np.maximum(node[x], node[rest[hit]]), same[hit]))
             return found
 
@@ -256,6 +289,7 @@ def _within(members: DataFrame, signed: DataFrame) -> DataFrame:
         for r in batches:
             key, i, j, mine, band, node, root = (r.column(c).to_numpy() for c in ("key", "i", "j", "mine", "band", "node", "root"))
             sig, short = (np.frombuffer(b"".join(r.column(c).to_pylist()), np.uint8).reshape(-1, n) for c, n in (("sig", LONG), ("short", SIZE)))
+            words = np.array(r.column("words").to_pylist(), object)
             new = np.ones(len(key), bool)
             new[1:] = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
             starts, found = np.flatnonzero(new).tolist(), []
@@ -265,7 +299,7 @@ def _within(members: DataFrame, signed: DataFrame) -> DataFrame:
                     found += run(rows)
                     rows = []
                 now = this
-                rows.append((i[a:b], j[a:b], mine[a:b], band[a:b], node[a:b], root[a:b], sig[a:b], short[a:b]))
+                rows.append((i[a:b], j[a:b], mine[a:b], band[a:b], node[a:b], root[a:b], sig[a:b], short[a:b], words[a:b]))
             yield out(found)
         if rows:
             yield out(run(rows))
@@ -325,7 +359,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, small_graph: int =
     if not left.isEmpty():
         # each node's most promising pair first: most other pairs are within a class by then and need no words
         signed_long = stored.put(_long_signatures(texts.join(left.select("node").distinct(), "node", "left_semi")))
-        late = stored.put(_within(left, signed_long))
+        late = stored.put(_within(left, signed_long, threshold))
         for wave in range(WAVES):
             now = late
             if wave == WAVES - 1:

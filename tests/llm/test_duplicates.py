@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from babelframe.llm import minhash
 from babelframe.llm.embed_dedup import CoverTree, Run, embed_dedup
 from babelframe.llm.minhash import multisets, near_dedup, overlap, signatures
 
@@ -59,6 +60,31 @@ def test_near_dedup_against_brute_force(spark):
     assert all(x["class_size"] == sizes[x["class_id"]] and x["kept"] == (x["doc_id"] == x["class_id"]) for x in got)
 
 
+def test_near_dedup_fetches_few_words(spark, monkeypatch):
+    """Texts that are all nearly similar meet in their buckets; their words aren't fetched for each pair."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(1600)]
+    texts = []
+    for k in range(80):
+        w = list(base)
+        for at in r.sample(range(0, 1600, 6), 22):
+            w[at] = f"x{k}x{at}"
+        texts.append(" ".join(w))
+    sets = minhash.multisets(texts)
+    for one, words in ((0, minhash.carried(texts)), (1, minhash.carried(["a b a b a b a b a b a b a b", *texts]))):
+        words = [np.frombuffer(x, np.uint32) for x in words]
+        if one:
+            assert len(words[0]) == 10 and minhash.similarities(words[0], words[1:]).max() == 0
+        else:
+            assert np.allclose(minhash.similarities(words[0], words[1:]), [overlap(sets[0], x) for x in sets[1:]])
+    fetched, verify = [], minhash._verify
+    monkeypatch.setattr(minhash, "_verify", lambda pairs, *a: fetched.append(pairs.count()) or verify(pairs, *a))
+    got = near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if overlap(sets[i], sets[j]) >= 0.8]
+    assert [x["class_id"] for x in sorted(got)] == list(classes(len(texts), links))
+    assert sum(fetched[1:]) < 100, fetched
+
+
 def test_near_dedup_repeated_ids(spark):
     """Different texts under one doc_id are nodes of their own; each class keeps one row and has a name of its own."""
     rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven"), (2, "one two three four five six seven"), (None, "x y z x y z w"), (1, "one two three four five six seven")]
