@@ -514,22 +514,15 @@ class Binder:
                 kind = common_kind([args[0].kind, args[2].kind])
                 x = to_kind(args[0], kind)
             if w.ignore_nulls and n:
-                side = s.rowsBetween(Window.unboundedPreceding, -1) if name == "LAG" else s.rowsBetween(1, Window.unboundedFollowing)
-                if n == 1:
-                    col = (F.last if name == "LAG" else F.first)(x, ignorenulls=True).over(side)
-                else:  # the n-th value that isn't NULL, counted from the row outwards
-                    place = self.fresh("p")
-                    df = df.withColumn(place, F.row_number().over(s))
-                    outwards = spec.orderBy(F.col(place).desc() if name == "LAG" else F.col(place)).rowsBetween(1, Window.unboundedFollowing)
-                    col = F.nth_value(x, n, ignoreNulls=True).over(outwards)
+                # Spark's own keeps the last n values that aren't NULL; a frame to the partition's end is gone through for each row
+                value, default = self.fresh("v"), self.fresh("d")
+                df = df.withColumns({value: x, default: to_kind(args[2], kind)} if len(args) > 2 else {value: x, default: F.lit(None)})
+                col = F.expr(f"{name.lower()}(`{value}`, {n}, `{default}`) IGNORE NULLS").over(s)
             else:
                 col = (F.lag if name == "LAG" else F.lead)(x, n).over(s)
-            if len(args) > 2:  # only where there is no such row: a NULL that a row holds stays NULL
-                if w.ignore_nulls and n:
-                    there = F.count(x).over(side) >= n
-                else:
+                if len(args) > 2:  # only where there is no such row: a NULL that a row holds stays NULL
                     there = (F.row_number().over(s) > n) if name == "LAG" else (F.row_number().over(s) + n <= F.count(F.lit(1)).over(spec))
-                col = F.when(there, col).otherwise(to_kind(args[2], kind))
+                    col = F.when(there, col).otherwise(to_kind(args[2], kind))
             args[0] = Bound(x, kind)
             b = Bound(col, args[0].kind)
         else:

@@ -124,6 +124,20 @@ def test_lag_and_lead_defaults(spark):
     assert get("LAG(v, 1, 99) IGNORE NULLS") == [99, 99, 5, 5] and get("LEAD(v, 2, 99) IGNORE NULLS") == [7, 99, 99, 99] and get("LAG(v, 2) IGNORE NULLS") == [None] * 4
 
 
+@pytest.mark.parametrize("n", (1, 2, 3))
+def test_lag_and_lead_past_nulls_go_over_a_partition_once(spark, n):
+    values = [None if k % 7 in (0, 1, 4) else k for k in range(500)]
+    db = {"t": spark.createDataFrame(list(enumerate(values)), "k long, v long")}
+    over = "IGNORE NULLS OVER (ORDER BY k)"
+    df = Engine(spark, REFERENCE, db).sql(f"SELECT k, LAG(v, {n}) {over} AS a, LAG(v, {n}, k) {over} AS b, LEAD(v, {n}) {over} AS c, LEAD(v, {n}, -1) {over} AS d FROM t")
+    # Spark computes a frame to the partition's end anew for each row
+    assert "unboundedfollowing" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    for r in df.collect():
+        before, after = [v for v in values[: r["k"]] if v is not None], [v for v in values[r["k"] + 1 :] if v is not None]
+        a, c = before[-n] if len(before) >= n else None, after[n - 1] if len(after) >= n else None
+        assert (r["a"], r["b"], r["c"], r["d"]) == (a, r["k"] if a is None else a, c, -1 if c is None else c)
+
+
 def test_correlated_scalar_with_group_by(spark, db):
     engine = Engine(spark, REFERENCE, db)
     got = engine.rows("SELECT e.id, (SELECT COUNT(*) FROM sales s WHERE s.employee_id = e.id GROUP BY s.employee_id) AS n FROM employees e ORDER BY e.id")
