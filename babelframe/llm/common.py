@@ -103,6 +103,10 @@ class Stored:
             self.paths.discard(path)
             drop_path(self.spark, path)
 
+    def free_shuffles(self) -> None:
+        """Has the shuffle files of what was stored so far go now: Spark drops them only once the driver's JVM collects its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def keep_only(self, *needed: DataFrame) -> None:
         """Drops every table made here but those that a result still reads."""
         for path in self.paths - {df._stored_at for df in needed}:

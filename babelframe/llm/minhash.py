@@ -94,7 +94,7 @@ def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     run = np.zeros(len(word), np.uint64)
     short = many[owner] < size
     for k in range(size):
-        n = len(word) - k
+        n = max(0, len(word) - k)  # a slice may hold a few words in all
         follows = owner[:n] == owner[k:]
         run[:n] += np.where(follows, mix(word[k:] + _U(k + 1)), _U(0))
     first = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -344,12 +344,16 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, small_graph: int =
 
     wanted = members.select("node").distinct().join(groups.select("node", "digest", "first_id"), "node")
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    texts = texts.join(wanted, (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(wanted["first_id"])).select("node", "text").dropDuplicates(["node"])
+    texts = texts.join(wanted, (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(wanted["first_id"])).select("node", "text")
+    if signed.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():  # else texts aren't shuffled again for it
+        texts = texts.dropDuplicates(["node"])
     texts = stored.put(texts)
+    stored.free_shuffles()
 
     # the smallest node of a bucket against the others
     pairs = stored.put(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     edges = stored.put(_verify(_agree(pairs, groups), texts, threshold))
+    stored.free_shuffles()
     labels = components(spark, edges, stored, small_graph)
 
     # what is left of buckets that still hold nodes of several classes
@@ -360,6 +364,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, small_graph: int =
         # each node's most promising pair first: most other pairs are within a class by then and need no words
         signed_long = stored.put(_long_signatures(texts.join(left.select("node").distinct(), "node", "left_semi")))
         late = stored.put(_within(left, signed_long, threshold))
+        stored.free_shuffles()
         for wave in range(WAVES):
             now = late
             if wave == WAVES - 1:
@@ -369,6 +374,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, small_graph: int =
                 chosen = best[0].union(best[1]).distinct()
             chosen = stored.put(chosen)
             more = stored.put(_verify(chosen, texts, threshold))
+            stored.free_shuffles()
             if not more.isEmpty():
                 labels = merge_components(spark, labels, more, stored, small_graph)
             if wave == WAVES - 1:

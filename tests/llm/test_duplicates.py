@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from babelframe.llm import minhash
+from babelframe.llm.common import Stored
 from babelframe.llm.embed_dedup import CoverTree, Run, embed_dedup
 from babelframe.llm.minhash import multisets, near_dedup, overlap, signatures
 
@@ -194,3 +195,28 @@ def test_embed_dedup_odd_rows(spark):
     rows = sorted(((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in got), key=str)
     assert rows == [(4, 2, 4, True), (4, 2, 4, True), (9, 0, 9, True), (None, 2, None, False)]
     assert embed_dedup(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_signatures_of_a_few_words_alone():
+    for n in range(7):
+        text = " ".join(f"w{i}" for i in range(n))
+        assert (signatures([text])[0] == signatures([text, " ".join(f"v{i}" for i in range(50))])[0]).all()
+        assert len(multisets([text])[0][0]) == (n > 0) * max(1, n - 4)
+
+
+@pytest.mark.parametrize("repeats", (1, 2))
+def test_near_dedup_shuffles_texts_again_only_for_repeated_rows(spark, monkeypatch, repeats):
+    plans, put = [], Stored.put
+
+    def seen(self, df):
+        if df.columns == ["node", "text"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(self, df)
+
+    monkeypatch.setattr(Stored, "put", seen)
+    words = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, words), (2, words + " end"), (3, "another text altogether")] * repeats
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == sorted([(1, 1, 2 * repeats), (2, 1, 2 * repeats), (3, 3, repeats)] * repeats)
+    assert sum(r["kept"] for r in got) == 2
+    assert [("first(text" in p) for p in plans] == [repeats > 1]
